@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1
+_LEAST = 5e-324  # the smallest positive double
 
 
 def clamp01(c: Column) -> Column:
@@ -21,29 +22,40 @@ def _halves(x: Column) -> tuple[Column, Column]:
     return high, x - high
 
 
+def _product_error(x: Column, digits: int, product: Column) -> Column:
+    """``x * 10**digits - product`` without rounding (Dekker's product)."""
+    high, low = _halves(x)
+    scale = 10 ** digits
+    if scale < 2 ** 26:
+        return (high * F.lit(float(scale)) - product) + low * F.lit(float(scale))
+    s_high = float(scale >> 26 << 26)
+    s_low = float(scale) - s_high
+    return (((high * F.lit(s_high) - product) + high * F.lit(s_low)) + low * F.lit(s_high)) + low * F.lit(s_low)
+
+
 def nearest_units(c: Column, digits: int) -> Column:
     """``abs(c)`` in units of ``10**-digits``, rounded to nearest with ties to even.
 
     Decides on the binary value of the double, not on its shortest decimal text: 2.675 is
     below the tie and 0.125 is on it. The product with ``10**digits`` is taken as a double
     plus its rounding error, so a product that merely rounds to a tie is told from a true
-    one. Holds while the result is below 2**53.
+    one. Holds for up to ten digits and results below 2**53.
+
+    The argument occurs many times in the expression: give a plain column where it is costly.
     """
     x = F.abs(c)
-    scale = F.lit(float(10 ** digits))
-    (x_high, x_low), (s_high, s_low) = _halves(x), _halves(scale)
-    product = x * scale
-    error = (((x_high * s_high - product) + x_high * s_low) + x_low * s_high) + x_low * s_low
+    product = x * F.lit(float(10 ** digits))
     whole = F.floor(product)
     part = product - whole
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    enough = F.when(whole % 2 == 1, 0.0).otherwise(_LEAST)
+    up = F.when(part == 0.5, _product_error(x, digits, product) >= enough).otherwise(part > 0.5)
     return whole + up.cast("bigint")
 
 
 def round_even(c: Column, digits: int) -> Column:
     """The double nearest to ``c`` with the given number of decimals, ties to even."""
-    size = nearest_units(c, digits) / F.lit(float(10 ** digits))
-    return F.when(c < 0, -size).otherwise(size)
+    sign = F.when(c < 0, -1.0).otherwise(1.0)
+    return sign * (nearest_units(c, digits) / F.lit(float(10 ** digits)))
 
 
 def _units_text(units: Column, digits: int) -> Column:

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fixed
 
-# (?U) makes \s cover every Unicode space; the four separator controls are not in it.
+# With (?U) \s covers every Unicode space; the four separator controls are not in it.
 _SPACE = r"[\s\x1c-\x1f]"
+# The same set of characters one by one, for trimming without a regular expression.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def null_tokens(c: Column, tokens: Iterable[str]) -> Column:
@@ -46,15 +48,25 @@ def redact(c: Column, secrets: Sequence[str]) -> Column:
     return c
 
 
+def _starts(patterns: Sequence[str]) -> str:
+    """A lookahead for the first characters of the patterns, if each starts with a plain one.
+
+    It turns away most positions of a text with one test instead of one per pattern.
+    """
+    first = [p.removeprefix("\\")[0] for p in patterns]
+    plain = all(p[0] not in "\\[(.^$*+?{|" or p.startswith("\\[") for p in patterns)
+    return "(?=[" + "".join("\\" + c if not c.isalnum() else c for c in dict.fromkeys(first)) + "])" if plain else ""
+
+
 def first_injection(c: Column, patterns: Sequence[str] = fixed.INJECTION_PATTERNS) -> Column:
     """The first pattern, in order, that occurs anywhere in the text; null if none does.
 
     ``when`` branches are evaluated in order and only as far as needed, and a single
     combined expression in front keeps clean text, the usual case, at one regex pass.
     """
-    spoken = ["(?iU)(?:" + p.replace(r"\s", _SPACE) + ")" for p in patterns]
-    suspicious = c.rlike("|".join(spoken))
-    which = F.coalesce(*[F.when(c.rlike(regex), F.lit(p)) for regex, p in zip(spoken, patterns)])
+    spoken = ["(?:" + p.replace(r"\s", _SPACE) + ")" for p in patterns]
+    suspicious = c.rlike("(?iU)" + _starts(patterns) + "(?:" + "|".join(spoken) + ")")
+    which = F.coalesce(*[F.when(c.rlike("(?iU)" + regex), F.lit(p)) for regex, p in zip(spoken, patterns)])
     return F.when(suspicious, which)
 
 

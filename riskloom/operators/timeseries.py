@@ -73,9 +73,10 @@ def quantile_from(counts: Column, bounds: Sequence[float], q: float) -> Column:
 
 
 def histogram_quantiles(hist: DataFrame, bounds: Sequence[float], quantiles: Sequence[float]) -> DataFrame:
-    named = [round_even(quantile_from(F.col("counts"), bounds, q), 6).alias(f"p{round(q * 100)}") for q in quantiles]
+    named = {f"p{round(q * 100)}": q for q in quantiles}
     keep = [c for c in hist.columns if c not in ("counts", "total", "count")]
-    return hist.select(*keep, *named)
+    raw = hist.select(*keep, *[quantile_from(F.col("counts"), bounds, q).alias(n) for n, q in named.items()])
+    return raw.select(*keep, *[round_even(F.col(n), 6).alias(n) for n in named])
 
 
 def request_counters(requests: DataFrame) -> DataFrame:

@@ -30,14 +30,14 @@ def _whole(df: DataFrame, name: str) -> DataFrame:
 def _explain(wide: DataFrame, audience: str) -> DataFrame:
     """Adds ``explanation`` and ``explain_error``; takes the structs detection and response."""
     flat = wide.select(
-        "transaction_id", "sanitize_error", "detection", "judged",
+        "transaction_id", "sanitize_error", "detection",
         "detection.fraud_probability", "detection.is_fraud_predicted", "detection.confidence_tier",
         "detection.top_shap_features", "response.response_text", "response.model", "response.input_tokens",
         "response.output_tokens", "response.duration_seconds", "response.message",
     )
     records = check_explanation(
         explanation_records(
-            scan_attribution_values(flat), audience, "sanitize_error", "detection", "judged", "unsafe_attribution"
+            scan_attribution_values(flat), audience, "sanitize_error", "detection", "unsafe_attribution"
         )
     )
     error = F.coalesce(
@@ -47,7 +47,7 @@ def _explain(wide: DataFrame, audience: str) -> DataFrame:
         F.when(F.size("violations") > 0, F.concat(F.lit("explanation breaks: "), F.array_join("violations", ", "))),
     )
     return records.select(
-        "transaction_id", "sanitize_error", "detection", "judged",
+        "transaction_id", "sanitize_error", "detection",
         F.struct(*_RECORD).alias("explanation"), error.alias("explain_error"),
     )
 
@@ -58,7 +58,7 @@ def evaluation_error(duration: Column, message: Column) -> Column:
 
 
 def _evaluate(explained: DataFrame) -> DataFrame:
-    """Adds ``evaluation`` and ``evaluate_error`` where an explanation was generated and judged."""
+    """Adds ``evaluation`` and ``evaluate_error``; takes explanation and the struct judged."""
     carried = ["transaction_id", "sanitize_error", "detection", "explanation", "explain_error"]
     flat = explained.select(
         *carried, "explanation.target_audience", "explanation.uncertainty_flag",
@@ -91,7 +91,8 @@ def run_pipeline(
     """One routed row per transaction with nested results, ``error``, ``error_stage``, ``completed``.
 
     The remote calls enter as recorded responses. Each table is brought in once, all on the
-    transaction id; everything after the three joins is row by row. A row that breaks a rule
+    transaction id, and just before it is needed: a join keeps the optimizer from inlining the
+    explanation's expressions into every use of them in the evaluation. The rest is row by row. A row that breaks a rule
     of the explanation record, or whose attribution values carry an injection, ends in the
     explain stage: a table job cannot raise for single rows.
     """
@@ -100,9 +101,9 @@ def run_pipeline(
     wide = (
         screened.join(_whole(detections, "detection"), "transaction_id", "left")
         .join(_whole(responses, "response"), "transaction_id", "left")
-        .join(_whole(judged, "judged"), "transaction_id", "left")
     )
-    ready = _explain(wide, audience).transform(_evaluate).withColumn(
+    explained = _explain(wide, audience).join(_whole(judged, "judged"), "transaction_id", "left")
+    ready = _evaluate(explained).withColumn(
         "detect_error", F.when(F.col("detection").isNull(), "no detection")
     )
     return route(ready, streamed=streamed).select(

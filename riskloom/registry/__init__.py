@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["q_clean", "q_text"]
+_MODULES = ["q_clean", "q_text", "q_costs", "q_ml", "q_stream"]
 
 
 def _load():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom import fixed_values as fixed
+from riskloom import schemas
 from riskloom.operators.routing import injection_error, route, stage_events
 from riskloom.operators.safety import scan_fields
 
@@ -28,8 +29,10 @@ def detection_events(transactions: DataFrame, detections: DataFrame | None = Non
         "transaction_id", "detection", "sanitize_error",
         F.when(F.col("detection").isNull(), "no detection").alias("detect_error"),
     )
-    none = F.lit(None).cast("string")
-    later = {n: none for n in ("explain_error", "evaluate_error", "explanation", "evaluation")}
+    later = {n: F.lit(None).cast("string") for n in ("explain_error", "evaluate_error")}
+    later |= {
+        "explanation": F.lit(None).cast(schemas.EXPLANATION), "evaluation": F.lit(None).cast(schemas.EVALUATION)
+    }
     # Neither explained nor judged in this job: those events do not arise.
     return stage_events(route(rows.withColumns(later), streamed=True)).filter(
         F.col("event").isin("sanitize", "detection", "error")
