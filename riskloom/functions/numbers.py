@@ -99,3 +99,12 @@ def unit_hash(*parts: Column | str) -> Column:
 def at_most_counts(c: Column, bounds: Sequence[float]) -> list[Column]:
     """One conditional count per upper bound plus the total: a cumulative histogram in one pass."""
     return [F.count_if(c <= F.lit(b)) for b in bounds] + [F.count(c)]
+
+
+def exact_sum(c: Column, digits: int) -> Column:
+    """Sum of numbers that are whole multiples of ``10**-digits``, whatever the order of adding.
+
+    Adds whole units, so tasks that finish in another order or run again change nothing.
+    """
+    unit = F.lit(float(10 ** digits))
+    return F.sum(F.rint(c * unit).cast("bigint")) / unit

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fixed
-from riskloom.functions.numbers import round_even
+from riskloom.functions.numbers import exact_sum, round_even
 from riskloom.functions.risk import routing_tier
 from riskloom.operators.join import price_calls
 
 _DIGITS = 6
+_COST_DIGITS = 8  # of a recorded cost
+
+
+def _spend(c: Column | None = None) -> Column:
+    return exact_sum(F.col("cost_usd") if c is None else c, _COST_DIGITS)
 
 
 def call_records(
@@ -62,7 +67,7 @@ def per_transaction(records: DataFrame) -> DataFrame:
         F.coalesce("tier", F.lit("unknown")).alias("tier"),
     ).agg(
         F.count("*").alias("calls"),
-        F.sum("cost_usd").alias("cost"),
+        _spend().alias("cost"),
         F.count_if("budget_breached").alias("breaches"),
     )
 
@@ -70,10 +75,10 @@ def per_transaction(records: DataFrame) -> DataFrame:
 def cost_totals(records: DataFrame) -> DataFrame:
     """Spend, calls, transactions, average and projection per hundred transactions."""
     by_transaction = records.groupBy("transaction_id").agg(
-        F.count("*").alias("calls"), F.sum("cost_usd").alias("cost"), F.count_if("budget_breached").alias("breaches")
+        F.count("*").alias("calls"), _spend().alias("cost"), F.count_if("budget_breached").alias("breaches")
     )
     total = by_transaction.agg(
-        F.sum("cost").alias("cost"),
+        _spend(F.col("cost")).alias("cost"),
         F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
         F.count("transaction_id").alias("transactions"),
         F.coalesce(F.sum("breaches"), F.lit(0)).alias("budget_breaches"),
@@ -91,23 +96,18 @@ def cost_totals(records: DataFrame) -> DataFrame:
 
 def cost_by_phase(records: DataFrame) -> DataFrame:
     """Spend per phase, sorted; calls without a phase are listed as unknown."""
-    return (
-        records.groupBy(F.coalesce("phase", F.lit("unknown")).alias("phase"))
-        .agg(round_even(F.sum("cost_usd"), _DIGITS).alias("cost"))
-        .orderBy("phase")
-    )
+    sums = records.groupBy(F.coalesce("phase", F.lit("unknown")).alias("phase")).agg(_spend().alias("cost"))
+    return sums.select("phase", round_even(F.col("cost"), _DIGITS).alias("cost")).orderBy("phase")
 
 
 def cost_by_agent(records: DataFrame) -> DataFrame:
-    return (
-        records.groupBy("agent_name")
-        .agg(
-            F.count("*").alias("calls"),
-            round_even(F.sum("cost_usd"), _DIGITS).alias("cost"),
-            round_even(F.avg("cost_usd"), 8).alias("average_per_call"),
-        )
-        .orderBy("agent_name")
-    )
+    sums = records.groupBy("agent_name").agg(F.count("*").alias("calls"), _spend().alias("cost"))
+    return sums.select(
+        "agent_name",
+        "calls",
+        round_even(F.col("cost"), _DIGITS).alias("cost"),
+        round_even(F.col("cost") / F.col("calls"), 8).alias("average_per_call"),
+    ).orderBy("agent_name")
 
 
 def tier_mix(records: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def cost_report(records: DataFrame, phase: str | None = None) -> DataFrame:
         F.grouping_id("phase", "agent_name", "tier").alias("g"),
         F.sum("calls").alias("calls"),
         F.countDistinct("transaction_id").alias("transactions"),
-        F.sum("cost").alias("cost"),
+        _spend(F.col("cost")).alias("cost"),
         F.sum("breaches").alias("budget_breaches"),
     )
     section = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "phase").when(F.col("g") == 5, "agent").otherwise("tier")
@@ -148,18 +148,17 @@ def cost_report(records: DataFrame, phase: str | None = None) -> DataFrame:
 def budget_per_transaction(records: DataFrame) -> DataFrame:
     """Spend of each transaction per agent and in all, against the three limits."""
 
-    def spent(agent: str):
-        return F.coalesce(F.sum(F.when(F.col("agent_name") == agent, F.col("cost_usd"))), F.lit(0.0))
+    def of(agent: str) -> Column:
+        return F.coalesce(_spend(F.when(F.col("agent_name") == agent, F.col("cost_usd"))), F.lit(0.0))
 
-    out = records.groupBy("transaction_id").agg(
-        round_even(spent("ExplanationAgent"), _DIGITS).alias("explanation_cost"),
-        round_even(spent("EvalAgent"), _DIGITS).alias("evaluation_cost"),
-        round_even(F.sum("cost_usd"), _DIGITS).alias("total_cost"),
+    sums = records.groupBy("transaction_id").agg(
+        of("ExplanationAgent").alias("explanation_cost"), of("EvalAgent").alias("evaluation_cost"), _spend().alias("total_cost")
     )
-    return out.withColumns(
-        {
-            "explanation_over": F.col("explanation_cost") > fixed.EXPLANATION_BUDGET_USD,
-            "evaluation_over": F.col("evaluation_cost") > fixed.EVALUATION_BUDGET_USD,
-            "total_over": F.col("total_cost") > fixed.CALL_BUDGET_USD,
-        }
+    costs = ["explanation_cost", "evaluation_cost", "total_cost"]
+    return sums.select(
+        "transaction_id",
+        *[round_even(F.col(c), _DIGITS).alias(c) for c in costs],
+        (F.col("explanation_cost") > fixed.EXPLANATION_BUDGET_USD).alias("explanation_over"),
+        (F.col("evaluation_cost") > fixed.EVALUATION_BUDGET_USD).alias("evaluation_over"),
+        (F.col("total_cost") > fixed.CALL_BUDGET_USD).alias("total_over"),
     )

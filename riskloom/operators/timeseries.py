@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fixed
-from riskloom.functions.numbers import at_most_counts, round_even
+from riskloom.functions.numbers import at_most_counts, exact_sum, round_even
 
 _LABELS = {b: f"{b:g}" for b in fixed.COST_BUCKETS + fixed.LATENCY_BUCKETS}
 
@@ -32,11 +32,13 @@ def token_counters(calls: DataFrame) -> DataFrame:
     return token_rows(sums, "agent_name", "model")
 
 
-def histogram(df: DataFrame, value: str, bounds: Sequence[float], *by: Column | str) -> DataFrame:
+def histogram(
+    df: DataFrame, value: str, bounds: Sequence[float], *by: Column | str, total: Column | None = None
+) -> DataFrame:
     """Per group: ``counts`` (cumulative, one per bound, then all), ``total`` and ``count``."""
     return df.groupBy(*by).agg(
         F.array(*at_most_counts(F.col(value), bounds)).alias("counts"),
-        F.sum(value).alias("total"),
+        (F.sum(value) if total is None else total).alias("total"),
         F.count(value).alias("count"),
     )
 
@@ -49,7 +51,7 @@ def histogram_rows(hist: DataFrame, bounds: Sequence[float]) -> DataFrame:
 
 
 def cost_histogram(priced: DataFrame) -> DataFrame:
-    hist = histogram(priced, "raw_cost_usd", fixed.COST_BUCKETS)
+    hist = histogram(priced, "raw_cost_usd", fixed.COST_BUCKETS, total=exact_sum(F.col("raw_cost_usd"), 9))
     return histogram_rows(hist.withColumn("total", round_even(F.col("total"), 6)), fixed.COST_BUCKETS)
 
 
@@ -119,12 +121,13 @@ def windowed_cost_quantiles(priced: DataFrame, seconds: int = 300) -> DataFrame:
 def stat_panels(records: DataFrame) -> DataFrame:
     """Total cost, breaches and calls by tier as named single numbers."""
     one = records.agg(
-        round_even(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("total_cost"),
+        F.coalesce(exact_sum(F.col("cost_usd"), 8), F.lit(0.0)).alias("total_cost"),
         F.count_if("budget_breached").cast("double").alias("budget_breaches"),
         F.count_if(F.col("tier") == "cheap").cast("double").alias("calls_cheap"),
         F.count_if(F.col("tier") == "strong").cast("double").alias("calls_strong"),
     )
-    return one.unpivot([], one.columns, "panel", "value")
+    rounded = one.withColumn("total_cost", round_even(F.col("total_cost"), 6))
+    return rounded.unpivot([], one.columns, "panel", "value")
 
 
 def rate_limit(

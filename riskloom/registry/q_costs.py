@@ -254,6 +254,12 @@ def _(spark, d):
 # --- costs ----------------------------------------------------------------------------
 
 
+# Recorded costs are whole multiples of 1e-8: added as whole numbers the order does not matter.
+_UNITS = "CAST(round(cost_usd * 1e8) AS BIGINT)"
+_SPEND = f"CAST(sum({_UNITS}) AS DOUBLE) / 1e8"
+_SPENT_BY = f"coalesce(CAST(sum({_UNITS}) FILTER (agent_name = '{{}}') AS DOUBLE) / 1e8, 0)"
+
+
 def _records(spark, d):
     return A.call_records(b.f_calls(spark, d))
 
@@ -276,22 +282,22 @@ def _(spark, d):
 
 
 @query("cost_totals", "records", oracle=f"""
-SELECT {rounded('sum(cost_usd)', 6)} AS total_cost, count(*) AS calls, count(DISTINCT transaction_id) AS transactions,
-  {rounded('sum(cost_usd) / count(DISTINCT transaction_id)', 6)} AS average_per_transaction,
-  {rounded('100 * sum(cost_usd) / count(DISTINCT transaction_id)', 4)} AS projected_per_100,
+SELECT {rounded(f'{_SPEND}', 6)} AS total_cost, count(*) AS calls, count(DISTINCT transaction_id) AS transactions,
+  {rounded(f'{_SPEND} / count(DISTINCT transaction_id)', 6)} AS average_per_transaction,
+  {rounded(f'{_SPEND} / count(DISTINCT transaction_id) * 100', 4)} AS projected_per_100,
   count(*) FILTER (budget_breached) AS budget_breaches FROM records""")
 def _(spark, d):
     return A.cost_totals(_records(spark, d))
 
 
 @query("cost_by_phase", "records", oracle=f"""
-SELECT coalesce(phase, 'unknown') AS phase, {rounded('sum(cost_usd)', 6)} AS cost FROM records GROUP BY 1 ORDER BY 1""")
+SELECT coalesce(phase, 'unknown') AS phase, {rounded(f'{_SPEND}', 6)} AS cost FROM records GROUP BY 1 ORDER BY 1""")
 def _(spark, d):
     return A.cost_by_phase(_records(spark, d))
 
 
 @query("cost_by_agent", "records", oracle=f"""
-SELECT agent_name, count(*) AS calls, {rounded('sum(cost_usd)', 6)} AS cost, {rounded('avg(cost_usd)', 8)} AS average_per_call
+SELECT agent_name, count(*) AS calls, {rounded(f'{_SPEND}', 6)} AS cost, {rounded(f'{_SPEND} / count(*)', 8)} AS average_per_call
 FROM records GROUP BY agent_name""")
 def _(spark, d):
     return A.cost_by_agent(_records(spark, d))
@@ -308,7 +314,7 @@ def _report(condition: str) -> str:
     parts = []
     for section, name in (("total", "'all'"), ("phase", "coalesce(phase, 'unknown')"), ("agent", "agent_name"), ("tier", "tier")):
         parts.append(f"""SELECT '{section}' AS section, {name} AS name, count(*) AS calls, count(DISTINCT transaction_id) AS transactions,
-  {rounded('sum(cost_usd)', 6)} AS cost, {rounded('sum(cost_usd) / count(*)', 8)} AS average_per_call,
+  {rounded(f'{_SPEND}', 6)} AS cost, {rounded(f'{_SPEND} / count(*)', 8)} AS average_per_call,
   count(*) FILTER (budget_breached) AS budget_breaches FROM records WHERE {condition} GROUP BY ALL""")
     return "\nUNION ALL ".join(parts)
 
@@ -324,9 +330,9 @@ def _(spark, d):
 
 
 @query("budget_per_transaction", "records", oracle=f"""
-SELECT *, explanation_cost > 0.03e0 AS explanation_over, evaluation_cost > 0.05e0 AS evaluation_over, total_cost > 0.08e0 AS total_over
-FROM (SELECT transaction_id, {rounded("coalesce(sum(cost_usd) FILTER (agent_name = 'ExplanationAgent'), 0)", 6)} AS explanation_cost,
-  {rounded("coalesce(sum(cost_usd) FILTER (agent_name = 'EvalAgent'), 0)", 6)} AS evaluation_cost, {rounded('sum(cost_usd)', 6)} AS total_cost
+SELECT transaction_id, {rounded('e', 6)} AS explanation_cost, {rounded('v', 6)} AS evaluation_cost, {rounded('t', 6)} AS total_cost,
+  e > 0.03e0 AS explanation_over, v > 0.05e0 AS evaluation_over, t > 0.08e0 AS total_over
+FROM (SELECT transaction_id, {_SPENT_BY.format('ExplanationAgent')} AS e, {_SPENT_BY.format('EvalAgent')} AS v, {_SPEND} AS t
   FROM records GROUP BY transaction_id)""")
 def _(spark, d):
     return A.budget_per_transaction(_records(spark, d))
@@ -342,18 +348,20 @@ def _(spark, d):
     return M.token_counters(b.f_calls(spark, d))
 
 
-def _buckets(value: str, bounds: list[float], source: str, by: str, digits: int) -> str:
+def _buckets(value: str, bounds: list[float], source: str, by: str, digits: int, total: str = "") -> str:
     keep = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     parts = [
-        f"SELECT {keep}'{label}' AS le, count(*) FILTER ({condition}) AS at_most, {rounded(f'sum({value})', digits)} AS total, "
+        f"SELECT {keep}'{label}' AS le, count(*) FILTER ({condition}) AS at_most, {rounded(total or f'sum({value})', digits)} AS total, "
         f"count({value}) AS count FROM {source} {group}"
         for label, condition in [*((f"{x:g}", f"{value} <= {x}e0") for x in bounds), ("+Inf", f"{value} IS NOT NULL")]
     ]
     return " UNION ALL ".join(parts)
 
 
-@query("cost_histogram", "priced", oracle=_buckets("raw_cost_usd", fixed.COST_BUCKETS, "priced", "", 6))
+@query("cost_histogram", "priced", oracle=_buckets(
+    "raw_cost_usd", fixed.COST_BUCKETS, "priced", "", 6,
+    total="CAST(sum(CAST(round(raw_cost_usd * 1e9) AS BIGINT)) AS DOUBLE) / 1e9"))
 def _(spark, d):
     return M.cost_histogram(price_calls(b.f_calls(spark, d)))
 
@@ -414,7 +422,7 @@ def _(spark, d):
 
 
 @query("stat_panels", "records", oracle=f"""
-SELECT 'total_cost' AS panel, {rounded('sum(cost_usd)', 6)} AS value FROM records
+SELECT 'total_cost' AS panel, {rounded(f'{_SPEND}', 6)} AS value FROM records
 UNION ALL SELECT 'budget_breaches', CAST(count(*) FILTER (budget_breached) AS DOUBLE) FROM records
 UNION ALL SELECT 'calls_cheap', CAST(count(*) FILTER (tier = 'cheap') AS DOUBLE) FROM records
 UNION ALL SELECT 'calls_strong', CAST(count(*) FILTER (tier = 'strong') AS DOUBLE) FROM records""")
