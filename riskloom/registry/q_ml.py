@@ -181,7 +181,7 @@ QUICK = {"trees": 20, "max_depth": 4}
 @lru_cache(maxsize=8)
 def _trained(spark, d):
     made = preprocess(_cleaned(spark, d))
-    matrix = settle(made.training_matrix)
+    matrix = made.training_matrix
     path = f"{shared_folder(spark)}/model-{abs(hash((spark.sparkContext.applicationId, d)))}"
     save_model(spark, G.train(matrix, made.features, params=QUICK), made.features, "1.0.0", path)
     return load_model(spark, path), settle(made.test), matrix

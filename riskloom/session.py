@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from the files.
+    """Write ``df`` once to the shared folder and continue from the files.
 
     Used where a result feeds several later jobs, so that they neither recompute it nor
-    lose it together with an executor.
+    lose it together with an executor. Later jobs read only the columns they need. The files
+    stay until the folder is cleared, as the cluster does with its checkpoint folder.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
