@@ -383,7 +383,7 @@ values_ AS (SELECT {by} AS g, {value} AS x FROM {source}),
 totals AS (SELECT g, count(x) AS n FROM values_ GROUP BY g),
 cumulative AS (SELECT v.g, i, high, low, count(*) FILTER (x <= high) AS c FROM values_ v, limits GROUP BY ALL),
 steps AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY g ORDER BY i), 0) AS before FROM cumulative),
-found AS (SELECT t.g, q, n, (SELECT low + (high - low) * ((q / 100e0) * n - before) / (c - before) FROM steps s
+found AS (SELECT t.g, q, n, (SELECT low + (high - low) * (((q / 100e0) * n - before) / (c - before)) FROM steps s
     WHERE s.g = t.g AND c >= (q / 100e0) * n ORDER BY i LIMIT 1) AS inside FROM totals t, asked)
 SELECT g AS {{name}}, {columns} FROM (SELECT g, q, coalesce(inside, {bounds[-1]}e0) AS v FROM found) GROUP BY g"""
 

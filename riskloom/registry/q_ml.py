@@ -42,7 +42,7 @@ def _cleaned(spark, d):
 
 @query("onehot_discover", "cleaned", oracle=f"SELECT TransactionID, {_hot()} FROM cleaned")
 def _(spark, d):
-    df = _cleaned(spark, d).select("TransactionID", *fixed.CATEGORICAL)
+    df = settle(_cleaned(spark, d).select("TransactionID", *fixed.CATEGORICAL))
     return one_hot(df, discover_vocabulary(df))
 
 
@@ -85,7 +85,7 @@ SELECT TransactionID, coalesce(TransactionAmt, (SELECT median(TransactionAmt) FR
   coalesce(card4, '0') AS card4 FROM cleaned""")
 def _(spark, d):
     columns = ["TransactionAmt", "card1", "addr1", "card4"]
-    return median_impute(_cleaned(spark, d).select("TransactionID", *columns), columns)
+    return median_impute(settle(_cleaned(spark, d).select("TransactionID", *columns)), columns)
 
 
 def _minority(spark, d):
