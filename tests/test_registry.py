@@ -9,8 +9,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from compare import compare, duck  # noqa: E402
 
 import __spark_entry__ as contract  # noqa: E402
+from riskloom.registry import all_oracles, all_queries  # noqa: E402
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -36,5 +37,10 @@ def test_every_query_is_checked_somehow():
     assert set(QUERIES) - set(ORACLES) == {"train_gbt", "auc_pr", "score_batch", "tree_attributions", "detect"}
 
 
+def test_the_contract_offers_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
