@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import settle
+
 
 def packed(docs: DataFrame, **named: Column) -> DataFrame:
     """All columns of ``docs`` as one struct ``row``, next to the named columns.
@@ -29,3 +32,22 @@ def text_or_empty(docs: DataFrame, name: str = "text") -> Column:
 def remainder(key: Column, of: int) -> Column:
     """crc32 of the key as text, modulo ``of``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(of))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have a place in a file, else ``docs`` written once and read.
+
+    Places (file and row number) name rows across several scans, also rows that are repeated, and
+    stay the same when a task is run again.
+    """
+    try:
+        docs.select(place(docs))
+        return docs
+    except AnalysisException:
+        return settle(docs)
+
+
+def place(docs: DataFrame) -> Column:
+    """The place of each row of a located frame: a struct of two longs."""
+    file = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(file.getField("file_path"), file.getField("file_size")).alias("file"), file.getField("row_index").alias("row"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, language, packing, quality, token_counts
+from riskloom.llm import bloom_dedup, language, lsh_forest, packing, quality, token_counts
 from riskloom.llm.frames import remainder
 
 
@@ -17,6 +17,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return lsh_forest.near_links(docs).select(F.col("k").alias("doc_id"), *lsh_forest.RESULTS)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
@@ -39,6 +44,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
