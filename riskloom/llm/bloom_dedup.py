@@ -7,8 +7,8 @@ All other rows have no equal and pass straight through, without a shuffle.
 
 The bitmaps are broadcast: ``functions`` times ``most_bits`` / 8 bytes at most, whatever the
 input. Past about ``most_bits`` / 4 rows more rows are taken for possibly repeated and shuffle;
-the result is the same. Rows are joined to their group with a plain equi-join, whose hot keys
-adaptive execution splits; the aggregate below it combines on the map side.
+the result is the same. Groups are aggregated with combining on the map side; groups that hold a
+thousandth of all rows or more are joined back by broadcast, the others by their hash.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import packed, text_or_empty, unpacked
+from riskloom.llm.frames import join_groups, packed, text_or_empty, unpacked
 from riskloom.session import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,10 +71,8 @@ def exact_groups(
         "row", F.col("k").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
     several = settle(rows.where("maybe").select("row", "k", "sha", F.monotonically_increasing_id().alias("n")))
-    best = several.groupBy(F.col("sha").alias("text_sha256")).agg(
-        F.max(F.struct("k", "n")).alias("best"), F.count(F.lit(1)).alias("group_size")
-    )
-    together = several.join(best, several.sha == best.text_sha256).select(
-        "row", F.col("best.k").alias("keep_id"), "group_size", (F.col("n") == F.col("best.n")).alias("kept"), "text_sha256"
+    best = settle(several.groupBy("sha").agg(F.max(F.struct("k", "n")).alias("best"), F.count(F.lit(1)).alias("group_size")))
+    together = join_groups(several, best, "sha", "group_size", count).select(
+        "row", F.col("best.k").alias("keep_id"), "group_size", (F.col("n") == F.col("best.n")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return unpacked(alone.unionByName(together), docs.columns, *RESULTS)

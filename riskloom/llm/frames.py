@@ -51,3 +51,18 @@ def place(docs: DataFrame) -> Column:
     """The place of each row of a located frame: a struct of two longs."""
     file = docs.metadataColumn("_metadata")
     return F.struct(F.xxhash64(file.getField("file_path"), file.getField("file_size")).alias("file"), file.getField("row_index").alias("row"))
+
+#: Groups that hold at least this share of all rows are joined by broadcast: 1 / HOT_SHARE of them at most.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined to their group (one row per ``key`` in ``groups``, with its ``size``).
+
+    No key of the shuffled join holds more than a thousandth of ``total`` rows: the groups that do
+    are a thousand at most and are broadcast, so a hot group stays spread as its rows are.
+    """
+    hot = F.col(size) >= max(2.0, total * HOT_SHARE)
+    large = F.broadcast(groups.where(hot))
+    rest = rows.join(large.select(key), key, "left_anti").join(groups.where(~hot), key)
+    return rows.join(large, key).unionByName(rest)
