@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import components
-from riskloom.llm.frames import located, packed, place, text_or_empty, unpacked
+from riskloom.llm.frames import join_groups, located, packed, place, text_or_empty, unpacked
 from riskloom.session import settle
 
 WORDS = 5
@@ -51,9 +51,9 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one n-gram of all its
-    words; a text without a word has none. Words are lower-cased and split at white space."""
+def ngrams(text: str, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word n-grams in order; a shorter text is one n-gram of all its words;
+    a text without a word has none. Words are lower-cased and split at white space."""
     found = text.lower().split()
     if not found:
         return np.empty(0, dtype=np.uint64)
@@ -63,7 +63,12 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     for i in range(n):
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _PRIME + each[i : len(found) - n + 1 + i]
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _PRIME
-    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The distinct n-grams, sorted."""
+    return np.unique(ngrams(text, words))
 
 
 def prefix_depth(trees: int, deepest: int, threshold: float, recall: float) -> int:
@@ -216,7 +221,8 @@ def near_links(
     named = settle(named)
     best = named.groupBy("g").agg(F.min("rep").alias("best"))
     named = named.join(best, "g").select("same", "rep", "members", "n_links", "best")
-    return signed.select("file", "row", "k", "same").join(named, "same").select(
+    rows = signed.select("file", "row", "k", "same")
+    return join_groups(rows, settle(named), "same", "members", rows.count()).select(
         F.struct("file", "row").alias("place"), "k", F.col("best.k").alias("class_id"), F.col("rep.k").alias("copy_id"),
         F.col("members").alias("n_copies"), "n_links",
         ((F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))).alias("kept"),

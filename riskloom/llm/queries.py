@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, language, lsh_forest, packing, quality, token_counts
+from riskloom.llm import bloom_dedup, language, lsh_forest, packing, quality, sharding, token_counts, weighted_sampling
 from riskloom.llm.frames import remainder
 
 
@@ -13,6 +13,18 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharding.shard(documents(spark, folder)).select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return weighted_sampling.compare_edited(documents(spark, folder))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
@@ -43,6 +55,8 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_fingerprints": op2_fingerprints,
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
