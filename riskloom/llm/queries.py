@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, language, lsh_forest, packing, quality, sharding, token_counts, weighted_sampling
+from riskloom.llm import bloom_dedup, interpolation, language, lsh_forest, packing, quality, sharding, token_counts, weighted_sampling
 from riskloom.llm.frames import remainder
 
 
@@ -48,6 +48,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder)).select("doc_id", *token_counts.RESULTS)
 
 
+def op9_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.score(documents(spark, folder))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     found = language.identify(docs, language.learn(language.trained_on(docs)))
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_interpolation": op9_interpolation,
     "op10_language": op10_language,
 }
 
