@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, interpolation, language, lsh_forest, packing, quality, sharding, token_counts, weighted_sampling
+from riskloom.llm import bloom_dedup, interpolation, language, lsh_forest, packing, piece_lattice, quality, sharding, token_counts, weighted_sampling
 from riskloom.llm.frames import remainder
 
 
@@ -25,6 +25,14 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_sampling.compare_edited(documents(spark, folder))
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    coded = piece_lattice.encode(documents(spark, folder))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), piece_lattice.ids_crc32(F.col("ids")).alias("ids_crc32"),
+        F.sha2(piece_lattice.decoded(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
@@ -61,6 +69,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
