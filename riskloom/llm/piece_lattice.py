@@ -42,7 +42,7 @@ from riskloom.llm.interpolation import packed, unpacked
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 MASK_PLACES = 62
-BLOCK_BYTES = 2**24
+BLOCK_BYTES = 2**23
 RANGE_BYTES = 2**23
 UNITS_A_TASK = 50_000
 PIECES_AT_MOST = 2**18
@@ -110,10 +110,10 @@ _MERGES = f"""aggregate(array_sort(transform(filter(edges, x -> x.e - x.s > 1),
                    THEN b & ~{_INSIDE} ELSE b END)"""
 _PATH_OF_MASK = f"""array_sort(transform(filter(edges, x -> {_BIT.format("s")} AND {_BIT.format("e")} AND {_INSIDE} = 0L),
     x -> struct(x.s AS s, x.id AS id)))"""
-_VITERBI = """aggregate(sequence(1, n), array(struct(0D AS score, -1 AS s, -1 AS id)),
+_VITERBI = """aggregate(sequence(1, n), array(struct(0D AS score, -1 AS s, CAST(NULL AS INT) AS id)),
     (best, p) -> concat(best, array(array_max(transform(filter(edges, x -> x.e = p),
         x -> struct(best[x.s].score + x.score AS score, x.s AS s, x.id AS id))))))"""
-_PATH_OF_BEST = """reverse(aggregate(sequence(1, n), struct(n AS at, array_repeat(struct(0 AS s, 0 AS id), 0) AS path),
+_PATH_OF_BEST = """reverse(aggregate(sequence(1, n), struct(n AS at, array_repeat(struct(0 AS s, CAST(NULL AS INT) AS id), 0) AS path),
     (a, p) -> CASE WHEN a.at <= 0 THEN a
                    ELSE struct(best[a.at].s AS at, concat(a.path, array(struct(best[a.at].s AS s, best[a.at].id AS id))) AS path) END).path)"""
 
