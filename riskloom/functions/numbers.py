@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPLIT = 134217729.0  # 2**27 + 1
 _LEAST = 5e-324  # the smallest positive double
 
 
+# A sign, decimal digits with an optional exponent, or infinity; no type suffixes.
+_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+
+
+def number_of(text: Column) -> Column:
+    """A text as double; null for what is no number, NaN included."""
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN where the column can hold one."""
+    c = F.col(name)
+    return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c.isNull()
+
+
 def clamp01(c: Column) -> Column:
     """Limit to [0, 1]; null stays null (``greatest``/``least`` would skip it)."""
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fixed
+from riskloom.functions.numbers import is_missing, number_of
 from riskloom.functions.text import free_text, redact, strip, vocabulary
 
 _ENUMS = {
@@ -47,8 +48,8 @@ def filter_amount(df: DataFrame) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
-    """card1 and addr1 as numbers; text that is no number becomes null."""
-    return df.withColumns({n: strip(F.col(n).cast("string")).try_cast("double") for n in _have(df, ["card1", "addr1"])})
+    """card1 and addr1 as numbers; NaN and text that is no number become null."""
+    return df.withColumns({n: number_of(strip(F.col(n).cast("string"))) for n in _have(df, ["card1", "addr1"])})
 
 
 def clean_text(df: DataFrame) -> DataFrame:
@@ -70,11 +71,11 @@ def email_match(df: DataFrame) -> DataFrame:
 
 
 def missing_count(df: DataFrame) -> DataFrame:
-    """How many of the key fields the table has are null."""
+    """How many of the key fields the table has are null or NaN."""
     present = _have(df, fixed.MISSING_COUNT_FIELDS)
     if not present:
         return df
-    total = sum((F.col(n).isNull().cast("int") for n in present[1:]), F.col(present[0]).isNull().cast("int"))
+    total = sum((is_missing(df, n).cast("int") for n in present[1:]), is_missing(df, present[0]).cast("int"))
     return df.withColumn("missing_count", total)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 _HEX_PER_STEP = 4  # 2**16 counts per step and group
 _FETCH_AT_MOST = 65_536
-_COPIES_PER_STEP = 100_000
+_COPIES_PER_STEP = 10_000
 
 
 def key_hash(seed: int, key: str) -> Column:
@@ -25,13 +25,17 @@ def _content_hash(names: list[str]) -> Column:
 
 
 def replicate(df: DataFrame, times: Column, index: str) -> DataFrame:
-    """Each row ``times`` times, numbered from 1 in ``index``; long runs are spread over tasks."""
+    """Each row ``times`` times, numbered from 1 in ``index``.
+
+    Rows are dealt over tasks by their content and long runs by steps as well, before they are
+    multiplied: neither many rows with few copies nor one row with very many meet in one task.
+    """
     step = _COPIES_PER_STEP
     return (
         df.withColumn("__times", times.cast("bigint"))
         .filter("__times > 0")
         .withColumn("__step", F.explode(F.expr(f"sequence(0L, (__times - 1) div {step})")))
-        .repartition("__step")
+        .repartition(F.xxhash64(*df.columns), "__step")
         .withColumn("__left", F.expr(f"least({step}L, __times - __step * {step})"))
         .withColumn(index, F.explode(F.expr(f"sequence(__step * {step} + 1, __step * {step} + __left)")))
         .drop("__times", "__step", "__left")

@@ -37,5 +37,5 @@ def detect(
         scored = scored.withColumn("top_shap_features", F.array().cast(empty))
     return decide(scored, threshold).select(
         "transaction_id", "fraud_probability", "is_fraud_predicted", "top_shap_features",
-        F.lit(model.version).alias("model_version"), F.lit(0.0).alias("inference_latency_ms"), "confidence_tier",
+        F.lit(model.version).alias("model_version"), F.lit(None).cast("double").alias("inference_latency_ms"), "confidence_tier",
     )
