@@ -117,10 +117,10 @@ def at_most_counts(c: Column, bounds: Sequence[float]) -> list[Column]:
     return [F.count_if(c <= F.lit(b)) for b in bounds] + [F.count(c)]
 
 
-def exact_sum(c: Column, digits: int) -> Column:
-    """Sum of numbers that are whole multiples of ``10**-digits``, whatever the order of adding.
+def exact_sum(c: Column) -> Column:
+    """Sum of amounts as decimals of 18 places, whatever the order of adding.
 
-    Adds whole units, so tasks that finish in another order or run again change nothing.
+    Tasks that finish in another order or run again change nothing. Finer than any rate card:
+    a price per token of ten places times a token count needs ten.
     """
-    unit = F.lit(float(10 ** digits))
-    return F.sum(F.rint(c * unit).cast("bigint")) / unit
+    return F.sum(c.cast("decimal(28,18)")).cast("double")

@@ -100,8 +100,12 @@ def check_explanation(df: DataFrame) -> DataFrame:
         "words": word_count(F.col("explanation_text")) > fixed.MAX_WORDS,
         "disclosure": F.col("uncertainty_flag") & made & _blank("uncertainty_disclosure"),
         "leak": leak(df),
-        "cost": made & (F.col("token_cost_usd") == 0.0),
+        "cost": made & (F.col("token_cost_usd").isNull() | (F.col("token_cost_usd") == 0.0)),
+        "probability": F.col("fraud_probability").isNull(),
+        "text": made & F.col("explanation_text").isNull(),
     }
+    if "is_fraud_predicted" in df.columns:
+        rules["flag"] = F.col("is_fraud_predicted").isNull()
     if "hallucinated_features" in df.columns:
         rules["ungrounded"] = F.size("hallucinated_features") > 0
     return with_violations(df, rules)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fixed
@@ -13,11 +13,10 @@ from riskloom.functions.risk import routing_tier
 from riskloom.operators.join import price_calls
 
 _DIGITS = 6
-_COST_DIGITS = 8  # of a recorded cost
 
 
 def _spend(c: Column | None = None) -> Column:
-    return exact_sum(F.col("cost_usd") if c is None else c, _COST_DIGITS)
+    return exact_sum(F.col("cost_usd") if c is None else c)
 
 
 def call_records(
@@ -122,8 +121,9 @@ def tier_mix(records: DataFrame) -> DataFrame:
 def cost_report(records: DataFrame, phase: str | None = None) -> DataFrame:
     """Totals, phases, agents and tiers in one scan.
 
-    ``section`` says which; ``name`` is the label within it. The grouping sets run over the
-    per-transaction sums, not over the log.
+    ``section`` says which; ``name`` is the label within it, with its averages, its projection
+    for a hundred transactions and its share of all calls. The grouping sets run over the
+    per-transaction sums, not over the log; the share is taken over the report's few rows.
     """
     sums = per_transaction(in_phase(records, phase))
     sets = sums.groupingSets([[], ["phase"], ["agent_name"], ["tier"]], "phase", "agent_name", "tier").agg(
@@ -134,17 +134,33 @@ def cost_report(records: DataFrame, phase: str | None = None) -> DataFrame:
         F.sum("breaches").alias("budget_breaches"),
     )
     section = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "phase").when(F.col("g") == 5, "agent").otherwise("tier")
+    name = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, F.col("phase")).when(F.col("g") == 5, F.col("agent_name"))
+    each = F.try_divide(F.col("cost"), F.col("transactions"))
+    all_calls = F.max(F.when(F.col("g") == 7, F.col("calls"))).over(Window.partitionBy())
     return sets.select(
         section.alias("section"),
-        F.coalesce("phase", "agent_name", "tier", F.lit("all")).alias("name"),
+        name.otherwise(F.col("tier")).alias("name"),
         "calls",
         "transactions",
         round_even(F.col("cost"), _DIGITS).alias("cost"),
         round_even(F.col("cost") / F.col("calls"), 8).alias("average_per_call"),
+        round_even(each, _DIGITS).alias("average_per_transaction"),
+        round_even(each * 100, 4).alias("projected_per_100"),
+        round_even(F.col("calls") * F.lit(100.0) / all_calls, _DIGITS).alias("percent_of_calls"),
         "budget_breaches",
     )
 
 
+def breaches_by_agent(records: DataFrame) -> DataFrame:
+    """Calls over budget of each agent."""
+    return records.groupBy("agent_name").agg(F.count_if("budget_breached").alias("budget_breaches"))
+
+
+def routing_by_agent_tier(records: DataFrame) -> DataFrame:
+    """Calls of each agent to each tier."""
+    return records.groupBy("agent_name", "tier").agg(F.count("*").alias("calls"))
+
+
 def budget_per_transaction(records: DataFrame) -> DataFrame:
     """Spend of each transaction per agent and in all, against the three limits."""
 

@@ -46,16 +46,17 @@ def route(df: DataFrame, *, streamed: bool = False) -> DataFrame:
     return out.withColumns(nulled).withColumn("completed", completed)
 
 
-def result_record() -> Column:
-    """The response record of a routed row."""
+def result_record(failed: bool = True) -> Column:
+    """The response record of a routed row, with or without its error."""
+    none = F.lit(None).cast("string")
     return F.struct(
         "transaction_id",
         "completed",
         F.col("detection").alias("detection_result"),
         F.col("explanation").alias("explanation_result"),
         F.col("evaluation").alias("eval_result"),
-        "error",
-        "error_stage",
+        F.col("error") if failed else none.alias("error"),
+        F.col("error_stage") if failed else none.alias("error_stage"),
     )
 
 
@@ -87,7 +88,8 @@ def stage_events(routed: DataFrame) -> DataFrame:
         event(3, "explanation", as_json("explanation"), past("explain")),
         event(4, "evaluation", as_json("evaluation"), past("evaluate") & F.col("evaluation").isNotNull()),
         event(5, "error", error, failed.isNotNull()),
-        event(6, "complete", F.to_json(result_record(), _KEEP_NULLS), past("explain")),
+        # A failed evaluation does not reach the state that the last event shows.
+        event(6, "complete", F.to_json(result_record(failed=False), _KEEP_NULLS), past("explain")),
     )
     return routed.select("transaction_id", F.explode(F.array_compact(events)).alias("e")).select(
         "transaction_id", "e.seq", "e.event", "e.data"

@@ -51,7 +51,7 @@ def histogram_rows(hist: DataFrame, bounds: Sequence[float]) -> DataFrame:
 
 
 def cost_histogram(priced: DataFrame) -> DataFrame:
-    hist = histogram(priced, "raw_cost_usd", fixed.COST_BUCKETS, total=exact_sum(F.col("raw_cost_usd"), 9))
+    hist = histogram(priced, "raw_cost_usd", fixed.COST_BUCKETS, total=exact_sum(F.col("raw_cost_usd")))
     return histogram_rows(hist.withColumn("total", round_even(F.col("total"), 6)), fixed.COST_BUCKETS)
 
 
@@ -121,7 +121,7 @@ def windowed_cost_quantiles(priced: DataFrame, seconds: int = 300) -> DataFrame:
 def stat_panels(records: DataFrame) -> DataFrame:
     """Total cost, breaches and calls by tier as named single numbers."""
     one = records.agg(
-        F.coalesce(exact_sum(F.col("cost_usd"), 8), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(exact_sum(F.col("cost_usd")), F.lit(0.0)).alias("total_cost"),
         F.count_if("budget_breached").cast("double").alias("budget_breaches"),
         F.count_if(F.col("tier") == "cheap").cast("double").alias("calls_cheap"),
         F.count_if(F.col("tier") == "strong").cast("double").alias("calls_strong"),
@@ -133,28 +133,39 @@ def stat_panels(records: DataFrame) -> DataFrame:
 def rate_limit(
     requests: DataFrame, *, limit: int = fixed.REQUESTS_PER_MINUTE, unit: str = "minute", order: str = "request_id"
 ) -> DataFrame:
-    """Flag requests beyond ``limit`` per client and calendar unit with status 429.
-
-    The first ``limit`` requests of each (client, unit) are found by a ranked filter, which
-    Spark also applies before the shuffle, so a client with most of the traffic sends only
-    ``limit`` rows per task. Its last admitted request is then compared with every row. All
-    rows stay; ``order`` makes the sequence within one instant definite and has to be unique.
+    """Flag requests beyond ``limit`` per client, endpoint and calendar unit with status 429.
+
+    Only the analysing endpoints are limited, each on its own, and a request refused for its key
+    (status 401) neither counts nor is limited. The first ``limit`` requests of each (client,
+    endpoint, unit) are found by a ranked filter, which Spark also applies before the shuffle, so
+    a client with most of the traffic sends only ``limit`` rows per task. Its last admitted
+    request is then compared with every row. All rows stay; ``order`` makes the sequence within
+    one instant definite and has to be unique.
     """
-    keyed = requests.withColumn("bucket", F.date_trunc(unit, "ts"))
-    w = Window.partitionBy("client", "bucket").orderBy("ts", order)
+    counts = F.col("endpoint").isin(*fixed.LIMITED_ENDPOINTS) & ~F.coalesce(F.col("status_code") == 401, F.lit(False))
+    keyed = requests.withColumns({"bucket": F.date_trunc(unit, "ts"), "counts": F.coalesce(counts, F.lit(False))})
+    key = ["client", "endpoint", "bucket"]
+    w = Window.partitionBy(*key).orderBy("ts", order)
     last = (
-        keyed.select("client", "bucket", "ts", order)
+        keyed.filter("counts").select(*key, "ts", order)
         .withColumn("n", F.row_number().over(w))
         .filter(F.col("n") <= limit)
-        .groupBy("client", "bucket")
+        .groupBy(*key)
         .agg(F.count("*").alias("n"), F.max(F.struct("ts", order)).alias("last"))
         .filter(F.col("n") == limit)
-        .select("client", "bucket", "last")
+        .select(*key, "last")
     )
-    over = F.coalesce(F.struct("ts", order) > F.col("last"), F.lit(False))
+    over = F.col("counts") & F.coalesce(F.struct("ts", order) > F.col("last"), F.lit(False))
     return (
-        keyed.join(last, ["client", "bucket"], "left")
+        keyed.join(last, key, "left")
         .withColumn("limited", over)
         .withColumn("status_code", F.when(F.col("limited"), 429).otherwise(F.col("status_code")))
-        .drop("last", "bucket")
+        .drop("last", "bucket", "counts")
     )
+
+
+def windowed_latency_p95(calls: DataFrame, seconds: int = 300) -> DataFrame:
+    """95th percentile of call durations in each window, from the latency buckets."""
+    w = time_window("timestamp", f"{seconds} seconds").alias("w")
+    hist = histogram(calls, "duration_seconds", fixed.LATENCY_BUCKETS, w)
+    return histogram_quantiles(hist, fixed.LATENCY_BUCKETS, [0.95]).select(F.col("w.start").alias("window_start"), "p95")

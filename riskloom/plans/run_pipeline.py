@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import fixed_values as fixed
 from riskloom import schemas
 from riskloom.functions.risk import timed_out
-from riskloom.operators.checks import check_explanation
+from riskloom.operators.checks import check_eval, check_explanation
 from riskloom.operators.explain import explanation_records
 from riskloom.operators.join import price_calls
 from riskloom.operators.routing import injection_error, route, ungrounded_error
@@ -66,12 +66,15 @@ def _evaluate(explained: DataFrame) -> DataFrame:
         F.col("judged.duration_seconds").alias("judge_seconds"), F.col("judged.message").alias("judge_message"),
         (F.col("judged").isNotNull() & F.col("explanation.explanation_generated")).alias("to_judge"),
     )
-    scored = price_calls(flat).transform(score)
+    scored = check_eval(price_calls(flat).transform(score).withColumn("token_cost_usd", F.col("raw_cost_usd")))
     record = F.struct(
         "transaction_id", "target_audience", *_SCORES, F.lit(fixed.PASS_MARK).alias("pass_threshold"), "passed",
-        "failure_reasons", F.col("raw_cost_usd").alias("token_cost_usd"),
+        "failure_reasons", "token_cost_usd",
+    )
+    error = F.coalesce(
+        evaluation_error(F.col("judge_seconds"), F.col("judge_message")),
+        F.when(F.size("violations") > 0, F.concat(F.lit("evaluation breaks: "), F.array_join("violations", ", "))),
     )
-    error = evaluation_error(F.col("judge_seconds"), F.col("judge_message"))
     return scored.select(
         *carried,
         F.when(F.col("to_judge"), record).alias("evaluation"),

@@ -157,7 +157,7 @@ def _(spark, d):
 
 
 @query("stage_events", "f_expl", "f_scores", oracle=f"""WITH {_ERRORS}
-SELECT transaction_id, CAST(e.seq AS INT) AS seq, e.event AS event,
+SELECT transaction_id, CAST(e.seq AS INT) AS seq, e.event AS event, CASE WHEN e.event = 'error' THEN error END AS error,
   CASE e.event WHEN 'error' THEN error_stage WHEN 'sanitize' THEN 'ok' WHEN 'complete' THEN CASE WHEN error_stage IS NULL THEN 'true' ELSE 'false' END END AS detail
 FROM (SELECT *, unnest(list_filter([
     CASE WHEN error_stage IS DISTINCT FROM 'sanitize' THEN {{'seq': 1, 'event': 'sanitize'}} END,
@@ -174,7 +174,8 @@ def _(spark, d):
         .when(F.col("event") == "sanitize", F.get_json_object("data", "$.status"))
         .when(F.col("event") == "complete", F.get_json_object("data", "$.completed"))
     )
-    return events.select("transaction_id", "seq", "event", detail.alias("detail"))
+    error = F.get_json_object("data", "$.error").alias("error")  # null in the record of a failed evaluation
+    return events.select("transaction_id", "seq", "event", error, detail.alias("detail"))
 
 
 @query("timeouts", "f_det", "f_resp", "f_scores", oracle="""
@@ -215,7 +216,8 @@ judged AS (SELECT e.*, v.message AS judge, CASE WHEN v.u2 IS NULL THEN g * 0.30e
     CASE WHEN injected THEN 'sanitize'
       WHEN unsafe OR outcome IN ('failed', 'ungrounded')
         OR (confidence_tier = 'low' AND outcome = 'ok' AND uncertainty_disclosure IS NULL) THEN 'explain'
-      WHEN outcome = 'ok' AND v.message IS NOT NULL THEN 'evaluate' END AS error_stage
+      WHEN outcome = 'ok' AND (v.message IS NOT NULL OR total IS NULL OR (total < 0.7e0 AND round(total, 4) >= 0.7e0)) THEN 'evaluate'
+      END AS error_stage
   FROM ended e JOIN (SELECT s.*, CASE WHEN t.confidence_tier = 'low' AND s.uncertainty_handling_score IS NOT NULL
       THEN greatest(0e0, least(1e0, s.uncertainty_handling_score)) END AS u2
     FROM scored s JOIN f_det t USING (transaction_id)) v USING (transaction_id))"""
@@ -315,6 +317,9 @@ def _report(condition: str) -> str:
     for section, name in (("total", "'all'"), ("phase", "coalesce(phase, 'unknown')"), ("agent", "agent_name"), ("tier", "tier")):
         parts.append(f"""SELECT '{section}' AS section, {name} AS name, count(*) AS calls, count(DISTINCT transaction_id) AS transactions,
   {rounded(f'{_SPEND}', 6)} AS cost, {rounded(f'{_SPEND} / count(*)', 8)} AS average_per_call,
+  {rounded(f'{_SPEND} / count(DISTINCT transaction_id)', 6)} AS average_per_transaction,
+  {rounded(f'{_SPEND} / count(DISTINCT transaction_id) * 100', 4)} AS projected_per_100,
+  {rounded(f'count(*) * 100e0 / (SELECT count(*) FROM records WHERE {condition})', 6)} AS percent_of_calls,
   count(*) FILTER (budget_breached) AS budget_breaches FROM records WHERE {condition} GROUP BY ALL""")
     return "\nUNION ALL ".join(parts)
 
@@ -338,6 +343,17 @@ def _(spark, d):
     return A.budget_per_transaction(_records(spark, d))
 
 
+@query("breaches_by_agent", "records", oracle="""
+SELECT agent_name, count(*) FILTER (budget_breached) AS budget_breaches FROM records GROUP BY agent_name""")
+def _(spark, d):
+    return A.breaches_by_agent(_records(spark, d))
+
+
+@query("routing_by_agent_tier", "records", oracle="SELECT agent_name, tier, count(*) AS calls FROM records GROUP BY agent_name, tier")
+def _(spark, d):
+    return A.routing_by_agent_tier(_records(spark, d))
+
+
 # --- metrics --------------------------------------------------------------------------
 
 
@@ -421,6 +437,12 @@ def _(spark, d):
     return M.windowed_cost_quantiles(price_calls(b.f_calls(spark, d)), 3600)
 
 
+@query("windowed_latency_p95", "f_calls", oracle=_quantile_sql(
+    "duration_seconds", fixed.LATENCY_BUCKETS, "f_calls", "time_bucket(INTERVAL 1 HOUR, timestamp)", [95]).replace("{name}", "window_start"))
+def _(spark, d):
+    return M.windowed_latency_p95(b.f_calls(spark, d), 3600)
+
+
 @query("stat_panels", "records", oracle=f"""
 SELECT 'total_cost' AS panel, {rounded(f'{_SPEND}', 6)} AS value FROM records
 UNION ALL SELECT 'budget_breaches', CAST(count(*) FILTER (budget_breached) AS DOUBLE) FROM records
@@ -431,8 +453,9 @@ def _(spark, d):
 
 
 @query("rate_limit", "f_req", oracle="""
-SELECT request_id, client, n > 3 AS limited, CASE WHEN n > 3 THEN 429 ELSE status_code END AS status_code
-FROM (SELECT *, row_number() OVER (PARTITION BY client, date_trunc('day', ts) ORDER BY ts, request_id) AS n FROM f_req)""")
+SELECT request_id, client, endpoint, counts AND n > 3 AS limited, CASE WHEN counts AND n > 3 THEN 429 ELSE status_code END AS status_code
+FROM (SELECT *, row_number() OVER (PARTITION BY client, endpoint, counts, date_trunc('day', ts) ORDER BY ts, request_id) AS n
+  FROM (SELECT *, endpoint LIKE '/api/v1/analyze%' AND status_code <> 401 AS counts FROM f_req))""")
 def _(spark, d):
     limited = M.rate_limit(b.f_req(spark, d), limit=3, unit="day")
-    return limited.select("request_id", "client", "limited", "status_code")
+    return limited.select("request_id", "client", "endpoint", "limited", "status_code")

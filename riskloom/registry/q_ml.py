@@ -11,7 +11,7 @@ from riskloom.functions.numbers import round_even
 from riskloom.operators import attribution as T
 from riskloom.operators import train as G
 from riskloom.operators.balance import median_impute, nearest_neighbours, synthetic_rows
-from riskloom.operators.encode import align, discover_vocabulary, one_hot
+from riskloom.operators.encode import align, discover_vocabulary, one_hot, score_features
 from riskloom.operators.split import split_rates, stratified_split
 from riskloom.plans.detect import detect
 from riskloom.plans.load_clean import clean_tables
@@ -187,50 +187,71 @@ def _trained(spark, d):
     return load_model(spark, path), settle(made.test), matrix
 
 
-@query("train_gbt")
+@query("train_gbt", "cleaned", oracle=f"""WITH {_SPLIT},
+counts AS (SELECT count(*) FILTER (NOT in_test) AS train, count(*) FILTER (in_test) AS test,
+  count(*) FILTER (NOT in_test AND isFraud = 1) AS train_pos, count(*) FILTER (in_test AND isFraud = 1) AS test_pos FROM parted)
+SELECT 'test' AS part, test AS rows, test_pos AS positives, true AS sane FROM counts
+UNION ALL SELECT 'train', train + made, train_pos + made, true FROM
+  (SELECT *, CAST(floor((train - train_pos) * 0.5e0 - train_pos) AS BIGINT) AS made FROM counts)""")
 def _(spark, d):
+    """Rows seen and held out; the areas must beat chance on what was learned and stay in bounds."""
     model, test, matrix = _trained(spark, d)
     rows = []
     for part, df in (("train", matrix), ("test", test)):
         scored = G.score_batch(model.pipeline, df, model.features)
-        rows.append((part, G.auc_roc(scored), G.auc_pr(scored)))
-    out = spark.createDataFrame(rows, "part string, auc_roc double, auc_pr double")
-    return out.withColumn("better_than_chance", F.col("auc_roc") > 0.5)
+        roc, pr = G.auc_roc(scored), G.auc_pr(scored)
+        negatives, positives = G.class_sizes(df)
+        sane = (roc > 0.5 and pr > positives / (negatives + positives)) if part == "train" else 0 <= roc <= 1 and 0 <= pr <= 1
+        rows.append((part, negatives + positives, positives, sane))
+    return spark.createDataFrame(rows, "part string, rows long, positives long, sane boolean")
+
+
+@query("auc_pr", "f_txn", oracle=f"""
+WITH s AS (SELECT round(abs(TransactionAmt) / 10000) AS s, count(*) FILTER (isFraud = 1) AS p, count(*) AS n
+  FROM f_txn WHERE TransactionAmt IS NOT NULL GROUP BY 1),
+c AS (SELECT s, sum(p) OVER w AS tp, sum(n) OVER w AS seen, CAST(sum(p) OVER () AS DOUBLE) AS positives FROM s WINDOW w AS (ORDER BY s DESC)),
+points AS (SELECT s, tp / positives AS recall, tp / CAST(seen AS DOUBLE) AS precision FROM c)
+SELECT {rounded('sum((recall - before) * (precision + first) / 2e0)', 6)} AS auc FROM (SELECT recall, precision,
+  coalesce(lag(recall) OVER (ORDER BY s DESC), 0e0) AS before, coalesce(lag(precision) OVER (ORDER BY s DESC), precision) AS first FROM points)""")
+def _(spark, d):
+    """Coarse scores, so that many rows tie; the first precision also holds at recall 0."""
+    rows = b.f_txn(spark, d).filter("TransactionAmt IS NOT NULL")
+    area = G.auc_pr(rows.select(F.round(F.abs("TransactionAmt") / 10000).alias("s"), fixed.LABEL), "s")
+    return spark.createDataFrame([(area,)], "auc double").select(round_even(F.col("auc"), 6).alias("auc"))
 
 
-@query("auc_pr")
-def _(spark, d):
-    model, test, _ = _trained(spark, d)
-    area = G.auc_pr(G.score_batch(model.pipeline, test, model.features))
-    return spark.createDataFrame([(area, 0.0 <= area <= 1.0)], "auc_pr double, in_bounds boolean")
+def _scored(spark, d):
+    """Every cleaned row in the model's encoding, with its probability."""
+    model = _trained(spark, d)[0]
+    matrix = align(score_features(_cleaned(spark, d)), model.features, "TransactionID")
+    return model, G.score_batch(model.pipeline, matrix, model.features)
 
 
-@query("score_batch")
+@query("score_batch", "cleaned", oracle="SELECT TransactionID, true AS in_bounds FROM cleaned")
 def _(spark, d):
-    model, test, _ = _trained(spark, d)
-    scored = G.score_batch(model.pipeline, test, model.features)
-    return scored.select("TransactionID", "fraud_probability", F.col("fraud_probability").between(0, 1).alias("in_bounds"))
+    scored = _scored(spark, d)[1]
+    return scored.select("TransactionID", F.col("fraud_probability").between(0, 1).alias("in_bounds"))
 
 
-@query("tree_attributions")
+@query("tree_attributions", "cleaned", oracle="SELECT TransactionID, true AS adds_up FROM cleaned")
 def _(spark, d):
     """Base value plus attributions must give the log-odds of each row's probability."""
-    model, test, _ = _trained(spark, d)
-    scored = G.score_batch(model.pipeline, test, model.features)
+    model, scored = _scored(spark, d)
     out = T.with_attributions(scored, model.features, model.leaves, ["TransactionID", "fraud_probability"])
     total = F.aggregate("shap_values", F.lit(T.base_value(model.leaves)), lambda a, x: a + x)
     odds = F.ln(F.col("fraud_probability") / (1 - F.col("fraud_probability")))
-    return out.select("TransactionID", "fraud_probability", "shap_values", (F.abs(total - odds) < 1e-6).alias("adds_up"))
+    return out.select("TransactionID", (F.abs(total - odds) < 1e-6).alias("adds_up"))
 
 
-@query("detect")
+@query("detect", "cleaned", oracle="""
+SELECT TransactionID AS transaction_id, 5 AS entries, true AS in_order, true AS flag_agrees, true AS tier_agrees FROM cleaned""")
 def _(spark, d):
-    model, _, _ = _trained(spark, d)
-    out = detect(_cleaned(spark, d), model)
+    """Decisions against the printed probability: the five strongest entries, in order."""
+    out = detect(_cleaned(spark, d), _trained(spark, d)[0])
     sizes = F.transform("top_shap_features", lambda f: F.abs(f["shap_value"]))
-    return out.withColumns(
-        {
-            "at_most_five": F.size("top_shap_features") <= fixed.TOP_K,
-            "in_order": sizes == F.reverse(F.array_sort(sizes)),
-        }
+    p = F.col("fraud_probability")
+    tier = F.when(F.abs(p - 0.5) > 0.3, "high").when((p >= 0.6) | (p < 0.4), "medium").otherwise("low")
+    return out.select(
+        "transaction_id", F.size("top_shap_features").alias("entries"), (sizes == F.reverse(F.array_sort(sizes))).alias("in_order"),
+        (F.col("is_fraud_predicted") == (p >= 0.5)).alias("flag_agrees"), (F.col("confidence_tier") == tier).alias("tier_agrees"),
     )

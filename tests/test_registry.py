@@ -24,17 +24,8 @@ def test_query_equals_sql(spark, con, folder, name):
     assert compare(spark, con, QUERIES[name], ORACLES[name], folder) == ""
 
 
-@pytest.mark.parametrize("name, truths", [
-    ("train_gbt", ["better_than_chance"]), ("auc_pr", ["in_bounds"]), ("score_batch", ["in_bounds"]),
-    ("tree_attributions", ["adds_up"]), ("detect", ["at_most_five", "in_order"]),
-])
-def test_query_checks_itself(spark, folder, name, truths):
-    rows = QUERIES[name](spark, folder).collect()
-    assert rows and all(r[t] for r in rows for t in truths)
-
-
-def test_every_query_is_checked_somehow():
-    assert set(QUERIES) - set(ORACLES) == {"train_gbt", "auc_pr", "score_batch", "tree_attributions", "detect"}
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_the_contract_offers_every_query():

@@ -114,8 +114,15 @@ def test_quantile_rules(spark):
 def test_rate_limit_with_one_busy_client(spark):
     start = datetime(2024, 1, 1, 12, 0, 0)
     rows = [(i, start + timedelta(seconds=i % 120), "busy", 200) for i in range(400)] + [(1000 + i, start, f"c{i}", 200) for i in range(20)]
-    out = M.rate_limit(spark.createDataFrame(rows, "request_id int, ts timestamp, client string, status_code int")).collect()
-    assert len(out) == 420
+    limited = [(*r, "/api/v1/analyze") for r in rows]
+    free = [(2000 + i, start, "free", 200, "/health") for i in range(30)] + [(3000 + i, start, "refused", 401, "/api/v1/analyze") for i in range(30)]
+    other = [(4000 + i, start, "busy", 200, "/api/v1/analyze/stream") for i in range(11)]
+    schema = "request_id int, ts timestamp, client string, status_code int, endpoint string"
+    out = M.rate_limit(spark.createDataFrame(limited + free + other, schema)).collect()
+    assert len(out) == 491
+    assert not any(r["limited"] for r in out if r["client"] in ("free", "refused"))
+    assert [r["request_id"] for r in out if r["limited"] and r["endpoint"].endswith("stream")] == [4010]
+    out = [r for r in out if r["request_id"] < 2000]
     admitted = sorted((r["ts"], r["request_id"]) for r in out if not r["limited"] and r["client"] == "busy")
     expected = [x for minute in (0, 1) for x in sorted((r[1], r[0]) for r in rows if r[2] == "busy" and r[1].minute == minute)[:10]]
     assert admitted == expected
