@@ -32,7 +32,7 @@ from riskloom.llm.frames import located, place, remainder, text_or_empty
 from riskloom.session import settle
 
 ORDER = 2
-BLOCK_BYTES = 2**24
+BLOCK_BYTES = 2**23
 RANGE_BYTES = 2**23
 BUCKETS = 64
 BINS = 4096
@@ -43,7 +43,7 @@ _START, _ODD = np.uint64(0x452821E638D01377), np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2**20:
+        if len(self) > 2**18:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -71,13 +71,11 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 
 def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Token counts of the texts; hashes (order x tokens) of the n-grams that end at each token."""
-    flat: list[bytes] = []
-    lengths = np.empty(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
+    parts = []
+    for text in texts:
         found = tokens(text)
-        lengths[i] = len(found)
-        flat += found
-    words = np.fromiter(map(_hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
+        parts.append(np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found)))
+    words, lengths = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
     first = np.cumsum(lengths) - lengths
     out, history = np.empty((order, len(words)), dtype=np.uint64), words
     out[0] = words
