@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -172,18 +173,24 @@ def _(spark, d):
     return T.topk_rows(b.f_attr(spark, d)).select("transaction_id", "rank", "feature_name", "shap_value", "feature_value")
 
 
-# --- the model: trained once per session and folder on the whole training part ---------
+# --- the model: trained once per session and table on the whole training part -----------
 
-# Few, shallow trees keep the check quick; the library's defaults are 200 trees of depth 6.
-QUICK = {"trees": 20, "max_depth": 4}
+
+def _trained(spark, d):
+    """Trained anew when the files behind the table change."""
+    files = []
+    for name in ("orders", "customer", "supplier"):
+        at = F.struct("_metadata.file_path", "_metadata.file_modification_time").cast("string").alias("f")
+        files += [r["f"] for r in b.table(spark, d, name).select(at).distinct().collect()]
+    return _trained_on(spark, d, tuple(sorted(files)))
 
 
 @lru_cache(maxsize=8)
-def _trained(spark, d):
+def _trained_on(spark, d, files):
     made = preprocess(_cleaned(spark, d))
     matrix = made.training_matrix
-    path = f"{shared_folder(spark)}/model-{abs(hash((spark.sparkContext.applicationId, d)))}"
-    save_model(spark, G.train(matrix, made.features, params=QUICK), made.features, "1.0.0", path)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save_model(spark, G.train(matrix, made.features), made.features, "1.0.0", path)
     return load_model(spark, path), settle(made.test), matrix
 
 
