@@ -8,7 +8,7 @@ shares one in some tree with a probability of at least ``recall``; then all tree
 
 Candidates of a prefix that few classes share become pairs. Where more than ``CROWD`` classes
 share one, no pairs are made: those classes are joined into candidate components, each
-component is dealt into blocks, and two blocks at a time are compared inside a task by matrix
+component is dealt into blocks (by documents and by n-grams), and two blocks at a time are compared inside a task by matrix
 products, which returns counts and a spanning forest. Work there grows with the square of a
 component of different, mutually similar texts (all its links are counted), in tasks of bounded
 size. Similarities are exact: intersections of whole n-gram sets.
@@ -35,6 +35,7 @@ DEEPEST = 8
 RECALL = 0.9999
 CROWD = 16
 BLOCK = 256
+BLOCK_NGRAMS = 200_000
 COLUMNS = 16384
 RESULTS = ("class_id", "copy_id", "n_copies", "n_links", "kept")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -42,7 +43,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 2**20:
+        if len(self) > 2**18:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -231,7 +232,9 @@ def near_links(
 
 def _crowd_links(sets: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
     """Links inside candidate components, two blocks at a time: (c, docs, root)."""
-    blocks = crowded.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = sets.select(F.col("c").alias("node"), F.size("s").cast("long").alias("size"))
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_NGRAMS))
+    blocks = crowded.join(sizes, "node").groupBy("comp").agg(needed.alias("blocks"))
     dealt = crowded.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     spread = dealt.join(sets, dealt.node == sets.c).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "c", "members", "s")
