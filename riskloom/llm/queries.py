@@ -15,10 +15,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return sharding.shard(documents(spark, folder)).select(
-        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    digests = documents(spark, folder).select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law")
     )
+    return sharding.shard(digests).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.frames import located, packed, place, unpacked
 from riskloom.session import settle
 
-RUN = 2**14
+RUN = 2**12
 ROUNDS = 8
 BROADCAST_BYTES = 2**26
 LAW_LIMIT = 10**9
