@@ -50,6 +50,23 @@ def generated_only(explanations: DataFrame) -> DataFrame:
     return explanations.filter(F.col("explanation_generated"))
 
 
+def poor_explanations(scenarios: DataFrame, detections: DataFrame) -> DataFrame:
+    """Explanation records of the scenarios that prescribe a deliberately poor text.
+
+    The text stands in for a generated explanation that cites the amount only.
+    """
+    low = F.col("confidence_tier") == "low"
+    return scenarios.filter(F.coalesce(F.col("inject_poor_explanation"), F.lit("")) != "").join(detections, "transaction_id").select(
+        "transaction_id", "target_audience", "fraud_probability", "is_fraud_predicted",
+        F.col("inject_poor_explanation").alias("explanation_text"), F.array(F.lit(fixed.AMOUNT)).alias("cited_features"),
+        F.filter(F.col("top_shap_features.feature_name"), lambda n: n != fixed.AMOUNT).alias("uncited_features"),
+        F.array().cast("array<string>").alias("hallucinated_features"), low.alias("uncertainty_flag"),
+        F.when(low, fixed.POOR_DISCLOSURE).alias("uncertainty_disclosure"), F.lit(True).alias("explanation_generated"),
+        F.lit(None).cast("string").alias("warning"), F.lit(fixed.POOR_COST_USD).alias("token_cost_usd"),
+        F.lit(1.0).alias("generation_latency_seconds"),
+    )
+
+
 def scenario_status(df: DataFrame) -> DataFrame:
     """Status and expectation mismatch of each scenario.
 

@@ -49,6 +49,8 @@ def _explain(wide: DataFrame, audience: str) -> DataFrame:
     return records.select(
         "transaction_id", "sanitize_error", "detection",
         F.struct(*_RECORD).alias("explanation"), error.alias("explain_error"),
+        # A call is made if there are safe attributions to explain.
+        F.when(~F.col("unsafe_attribution"), F.col("outcome")).alias("called"),
     )
 
 
@@ -82,6 +84,53 @@ def _evaluate(explained: DataFrame) -> DataFrame:
     )
 
 
+def calls_of_run(
+    transactions: DataFrame, detections: DataFrame, responses: DataFrame, judged: DataFrame, *, audience: str = "analyst"
+) -> DataFrame:
+    """The calls a run makes, one row each, as ``call_records`` takes them.
+
+    An explanation call carries the probability as its confidence, an evaluation its rounded
+    score and whether it passed. A call that timed out, and any failed evaluation, is logged
+    with no tokens; an explanation call that failed otherwise leaves no record.
+    """
+    explained = _screened_and_explained(transactions, detections, responses, audience)
+    reached = explained.filter(F.col("sanitize_error").isNull() & F.col("detection").isNotNull())
+    none = F.lit(None)
+    ended = F.col("called") == "timeout"
+    asked = responses.select("transaction_id", "model", "input_tokens", "output_tokens", "duration_seconds")
+    first = reached.filter(F.col("called").isin("ok", "ungrounded", "timeout")).join(asked, "transaction_id").select(
+        "transaction_id", F.lit("phase_3").alias("phase"), F.lit("ExplanationAgent").alias("agent_name"), "model",
+        F.when(ended, 0).otherwise(F.col("input_tokens")).cast("long").alias("input_tokens"),
+        F.when(ended, 0).otherwise(F.col("output_tokens")).cast("long").alias("output_tokens"),
+        F.col("duration_seconds").cast("double").alias("duration_seconds"),
+        F.col("detection.fraud_probability").alias("confidence"), none.cast("boolean").alias("passed"),
+    )
+    failed = F.col("message").isNotNull()
+    scored = (
+        reached.filter(F.col("explain_error").isNull() & F.col("explanation.explanation_generated"))
+        .select("transaction_id", "explanation.uncertainty_flag", "explanation.target_audience")
+        .join(judged, "transaction_id").transform(score)
+    )
+    second = scored.select(
+        "transaction_id", F.lit("phase_4").alias("phase"), F.lit("EvalAgent").alias("agent_name"), "model",
+        F.when(failed, 0).otherwise(F.col("input_tokens")).cast("long").alias("input_tokens"),
+        F.when(failed, 0).otherwise(F.col("output_tokens")).cast("long").alias("output_tokens"),
+        F.col("duration_seconds").cast("double").alias("duration_seconds"),
+        F.when(~failed, F.col("overall_score")).alias("confidence"), F.when(~failed, F.col("passed")).alias("passed"),
+    )
+    return first.unionByName(second)
+
+
+def _screened_and_explained(transactions: DataFrame, detections: DataFrame, responses: DataFrame, audience: str) -> DataFrame:
+    row_id = F.col(fixed.ROW_ID).cast("string").alias("transaction_id")
+    screened = scan_fields(transactions).select(row_id, injection_error(F.col("injection")).alias("sanitize_error"))
+    wide = (
+        screened.join(_whole(detections, "detection"), "transaction_id", "left")
+        .join(_whole(responses, "response"), "transaction_id", "left")
+    )
+    return _explain(wide, audience)
+
+
 def run_pipeline(
     transactions: DataFrame,
     detections: DataFrame,
@@ -99,13 +148,8 @@ def run_pipeline(
     of the explanation record, or whose attribution values carry an injection, ends in the
     explain stage: a table job cannot raise for single rows.
     """
-    row_id = F.col(fixed.ROW_ID).cast("string").alias("transaction_id")
-    screened = scan_fields(transactions).select(row_id, injection_error(F.col("injection")).alias("sanitize_error"))
-    wide = (
-        screened.join(_whole(detections, "detection"), "transaction_id", "left")
-        .join(_whole(responses, "response"), "transaction_id", "left")
-    )
-    explained = _explain(wide, audience).join(_whole(judged, "judged"), "transaction_id", "left")
+    explained = _screened_and_explained(transactions, detections, responses, audience)
+    explained = explained.join(_whole(judged, "judged"), "transaction_id", "left")
     ready = _evaluate(explained).withColumn(
         "detect_error", F.when(F.col("detection").isNull(), "no detection")
     )

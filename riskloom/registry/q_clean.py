@@ -20,6 +20,8 @@ from riskloom.registry.core import query
 from riskloom.registry.oracle_bindings import rounded
 from riskloom.session import shared_folder
 from riskloom.sources.call_log import append_calls, scan_calls
+from riskloom.sources.scenarios import scan_scenarios
+from riskloom.sources.splits import read_split, write_split
 from riskloom.sources.transactions import lookup_transaction, sample_rows, scan_identity, scan_transactions
 
 
@@ -59,6 +61,30 @@ def _(spark, d):
     return scan_identity(spark, _written_csv(spark, b.f_ident(spark, d).withColumn("id_01", F.lit(0))))
 
 
+@query("write_split", "f_txn", oracle="""
+SELECT CAST(TransactionID AS VARCHAR) AS TransactionID, isFraud, CASE WHEN TransactionID % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM f_txn""")
+def _(spark, d):
+    """Both parts are put out and read back."""
+    path = _fresh(spark, "split")
+    rows = b.f_txn(spark, d).select(F.col("TransactionID").cast("string").alias("TransactionID"), "isFraud", (F.col("TransactionID") % 3 == 0).alias("test"))
+    write_split(rows.filter("NOT test").drop("test"), rows.filter("test").drop("test"), path)
+    train, test = read_split(spark, path)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query("scan_scenarios", "f_scenarios", oracle="""
+SELECT id, transaction_id, target_audience, expected_eval_passed, expected_overall_score_min, explanation_must_contain,
+  explanation_must_not_contain, CAST(NULL AS VARCHAR) AS "DeviceInfo" FROM f_scenarios""")
+def _(spark, d):
+    """Scenarios are put out as JSON arrays of a thousand, one for each file."""
+    path, rows = _fresh(spark, "scenarios"), b.f_scenarios(spark, d)
+    names = ["id", "transaction_id", "target_audience", "expected_eval_passed", "expected_overall_score_min", "explanation_must_contain", "explanation_must_not_contain"]
+    each = rows.withColumn("chunk", F.floor(F.col("transaction_id").cast("bigint") / 4000))
+    arrays = each.groupBy("chunk").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
+    arrays.write.partitionBy("chunk").text(path)
+    return scan_scenarios(spark, f"{path}/*").select(*names, "DeviceInfo")
+
+
 @query("sample_rows", "f_txn", oracle="""
 SELECT TransactionID, isFraud, TransactionAmt FROM f_txn
 ORDER BY md5('42:' || CAST(TransactionID AS VARCHAR)), TransactionID LIMIT 500""")

@@ -13,7 +13,7 @@ from riskloom.operators.checks import check_explanation
 from riskloom.operators.join import price_calls, scenarios_with_detections
 from riskloom import fixed_values as fixed
 from riskloom.plans.load_clean import clean_tables
-from riskloom.plans.run_pipeline import run_pipeline
+from riskloom.plans.run_pipeline import calls_of_run, run_pipeline
 from riskloom.registry import bindings as b
 from riskloom.registry.core import query
 from riskloom.registry.oracle_bindings import rounded
@@ -192,11 +192,15 @@ def _(spark, d):
     return R.classify_timeouts(calls).select("transaction_id", "stage", "timed_out")
 
 
-def _staged(spark, d, streamed=False):
+def _staged_inputs(spark, d):
     detections = b.f_det(spark, d).join(b.f_attr_lists(spark, d), "transaction_id", "left")
     transactions = clean_tables(b.f_txn(spark, d), b.f_ident(spark, d))
     judged = b.f_scores(spark, d).withColumn("model", F.lit("claude-sonnet-4-6")).drop("uncertainty_flag")
-    return run_pipeline(transactions, detections, b.f_resp(spark, d), judged, streamed=streamed)
+    return transactions, detections, b.f_resp(spark, d), judged
+
+
+def _staged(spark, d, streamed=False):
+    return run_pipeline(*_staged_inputs(spark, d), streamed=streamed)
 
 
 _STAGED = f"""
@@ -235,6 +239,39 @@ def _(spark, d):
     )
 
 
+@query("calls_of_run", "cleaned", "f_det", "ranked_attr", "f_resp", "scored", oracle=f"""WITH {_STAGED}
+SELECT transaction_id, 'phase_3' AS phase, 'ExplanationAgent' AS agent_name, CASE WHEN outcome = 'timeout' THEN 0 ELSE input_tokens END AS input_tokens,
+  CASE WHEN outcome = 'timeout' THEN 0 ELSE output_tokens END AS output_tokens, fraud_probability AS confidence, CAST(NULL AS BOOLEAN) AS passed
+FROM judged JOIN (SELECT transaction_id, fraud_probability FROM f_det) USING (transaction_id)
+WHERE NOT injected AND NOT unsafe AND outcome IN ('ok', 'ungrounded', 'timeout')
+UNION ALL SELECT transaction_id, 'phase_4', 'EvalAgent', CASE WHEN judge IS NULL THEN v.input_tokens ELSE 0 END,
+  CASE WHEN judge IS NULL THEN v.output_tokens ELSE 0 END, CASE WHEN judge IS NULL THEN {rounded('total', 4)} END, CASE WHEN judge IS NULL THEN total >= 0.70e0 END
+FROM judged j JOIN (SELECT transaction_id, input_tokens, output_tokens FROM f_scores) v USING (transaction_id)
+WHERE (error_stage IS NULL OR error_stage = 'evaluate') AND outcome = 'ok'""")
+def _(spark, d):
+    """As the log records them; what a call costs is priced as for every record."""
+    log = A.call_records(calls_of_run(*_staged_inputs(spark, d)).withColumn("timestamp", F.lit(None).cast("timestamp")))
+    return log.select("transaction_id", "phase", "agent_name", "input_tokens", "output_tokens", "confidence", "passed")
+
+
+@query("poor_explanations", "f_det", "ranked_attr", oracle="""
+SELECT transaction_id, 'analyst' AS target_audience, 'Looks odd.' AS explanation_text, ['TransactionAmt'] AS cited_features,
+  coalesce((SELECT list(feature_name ORDER BY rank) FROM ranked_attr r WHERE r.rank <= 5 AND r.transaction_id = d.transaction_id
+    AND feature_name <> 'TransactionAmt'), []) AS uncited_features,
+  confidence_tier = 'low' AS uncertainty_flag, CASE WHEN confidence_tier = 'low' THEN 'Low confidence.' END AS uncertainty_disclosure
+FROM f_det d WHERE CAST(transaction_id AS BIGINT) % 3 = 0 AND transaction_id IN (SELECT transaction_id FROM ranked_attr)""")
+def _(spark, d):
+    """Every third transaction stands for a scenario that prescribes its explanation."""
+    detections = b.f_det(spark, d).join(b.f_attr_lists(spark, d), "transaction_id")
+    scenarios = detections.select(
+        "transaction_id", F.lit("analyst").alias("target_audience"),
+        F.when(F.col("transaction_id").cast("bigint") % 3 == 0, "Looks odd.").alias("inject_poor_explanation"),
+    )
+    return J.poor_explanations(scenarios, detections).select(
+        "transaction_id", "target_audience", "explanation_text", "cited_features", "uncited_features", "uncertainty_flag", "uncertainty_disclosure"
+    )
+
+
 @query("result_json", "cleaned", "f_det", "ranked_attr", "f_resp", "scored", oracle=f"""WITH {_STAGED}
 SELECT transaction_id, 'true' AS completed, error_stage,
   error_stage IS DISTINCT FROM 'sanitize' AS has_detection, error_stage IS NULL OR error_stage = 'evaluate' AS has_explanation,

@@ -190,8 +190,9 @@ def _trained_on(spark, d, files):
     made = preprocess(_cleaned(spark, d))
     matrix = made.training_matrix
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    save_model(spark, G.train(matrix, made.features), made.features, "1.0.0", path)
-    return load_model(spark, path), settle(made.test), matrix
+    fitted = G.train(matrix, made.features)
+    save_model(spark, fitted, made.features, "1.0.0", path)
+    return load_model(spark, path), settle(made.test), matrix, fitted
 
 
 @query("train_gbt", "cleaned", oracle=f"""WITH {_SPLIT},
@@ -202,7 +203,7 @@ UNION ALL SELECT 'train', train + made, train_pos + made, true FROM
   (SELECT *, CAST(floor((train - train_pos) * 0.5e0 - train_pos) AS BIGINT) AS made FROM counts)""")
 def _(spark, d):
     """Rows seen and held out; the areas must beat chance on what was learned and stay in bounds."""
-    model, test, matrix = _trained(spark, d)
+    model, test, matrix, _ = _trained(spark, d)
     rows = []
     for part, df in (("train", matrix), ("test", test)):
         scored = G.score_batch(model.pipeline, df, model.features)
@@ -240,6 +241,15 @@ def _(spark, d):
     return scored.select("TransactionID", F.col("fraud_probability").between(0, 1).alias("in_bounds"))
 
 
+@query("model_save_load", "cleaned", oracle="SELECT TransactionID, true AS same, '1.0.0' AS version FROM cleaned")
+def _(spark, d):
+    """The stored model gives the probabilities of the one that was trained."""
+    model, _, _, fitted = _trained(spark, d)
+    matrix = align(score_features(_cleaned(spark, d)), model.features, "TransactionID")
+    both = G.score_batch(fitted, G.score_batch(model.pipeline, matrix, model.features).withColumnRenamed("fraud_probability", "stored"), model.features)
+    return both.select("TransactionID", (F.col("stored") == F.col("fraud_probability")).alias("same"), F.lit(model.version).alias("version"))
+
+
 @query("tree_attributions", "cleaned", oracle="SELECT TransactionID, true AS adds_up FROM cleaned")
 def _(spark, d):
     """Base value plus attributions must give the log-odds of each row's probability."""

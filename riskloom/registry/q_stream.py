@@ -11,11 +11,12 @@ from riskloom.operators.costs import call_records
 from riskloom.registry import bindings as b
 from riskloom.registry.core import query
 from riskloom.registry.oracle_bindings import rounded
-from riskloom.session import shared_folder
+from riskloom.registry.q_costs import _STAGED, _staged_inputs
+from riskloom.session import settle, shared_folder
 from riskloom.sources.call_log import append_calls_stream, scan_calls
 from riskloom.streaming.dedupe import drop_duplicate_ids
-from riskloom.streaming.metrics import start_metrics, windowed_tokens
-from riskloom.streaming.stage_events import detection_events, start_events
+from riskloom.streaming.metrics import start_metrics, windowed_counters, windowed_requests, windowed_tokens
+from riskloom.streaming.stage_events import detection_events, pipeline_events, start_events
 
 
 class _EventStream:
@@ -61,6 +62,54 @@ def _(spark, d):
     return read.select("transaction_id", "seq", "event", detail.alias("detail"))
 
 
+@query("pipeline_events_stream", "cleaned", "f_det", "ranked_attr", "f_resp", "scored", oracle=f"""WITH {_STAGED}
+SELECT transaction_id, CAST(e.seq AS INT) AS seq, e.event AS event, CASE e.event WHEN 'error' THEN error_stage WHEN 'sanitize' THEN 'ok' END AS detail
+FROM (SELECT *, unnest(list_filter([
+    CASE WHEN error_stage IS DISTINCT FROM 'sanitize' THEN {{'seq': 1, 'event': 'sanitize'}} END,
+    CASE WHEN error_stage IS DISTINCT FROM 'sanitize' THEN {{'seq': 2, 'event': 'detection'}} END,
+    CASE WHEN error_stage IS NULL OR error_stage = 'evaluate' THEN {{'seq': 3, 'event': 'explanation'}} END,
+    CASE WHEN error_stage IS NULL AND outcome = 'ok' THEN {{'seq': 4, 'event': 'evaluation'}} END,
+    CASE WHEN error_stage IS NOT NULL THEN {{'seq': 5, 'event': 'error'}} END,
+    CASE WHEN error_stage IS NULL OR error_stage = 'evaluate' THEN {{'seq': 6, 'event': 'complete'}} END],
+    lambda x: x IS NOT NULL)) AS e FROM judged)""")
+def _(spark, d):
+    """The cleaned transactions come in as files; responses and scores are recorded tables."""
+    transactions, detections, responses, judged = _staged_inputs(spark, d)
+    arrived = settle(transactions)
+    stream = spark.readStream.schema(arrived.schema).parquet(arrived.inputFiles()[0].rpartition("/")[0])
+    out, checkpoint = _places(spark, "pipeline-events")
+    _drained(start_events(pipeline_events(stream, settle(detections), settle(responses), settle(judged)), out, checkpoint))
+    read = spark.read.schema("transaction_id string, seq int, event string, data string").json(out)
+    detail = F.coalesce(*[F.get_json_object("data", f"$.{k}") for k in ("error_stage", "status")])
+    return read.select("transaction_id", "seq", "event", detail.alias("detail"))
+
+
+_CLOSED = "{t} + INTERVAL 1 HOUR <= (SELECT max({c}) - INTERVAL 1 HOUR FROM {f})"
+
+
+@query("counters_stream", "f_calls", oracle=f"""
+SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, agent_name, model, token_type, CAST(sum(n) AS BIGINT) AS tokens
+FROM (SELECT timestamp, agent_name, model, 'input' AS token_type, input_tokens AS n FROM f_calls
+  UNION ALL SELECT timestamp, agent_name, model, 'output', output_tokens FROM f_calls)
+WHERE {_CLOSED.format(t="time_bucket(INTERVAL 1 HOUR, timestamp)", c="timestamp", f="f_calls")} GROUP BY ALL""")
+def _(spark, d):
+    windows = windowed_counters(b.f_calls(_EventStream(spark), d), seconds=3600)
+    out, checkpoint = _places(spark, "counters")
+    _drained(start_metrics(windows, out, checkpoint))
+    return spark.read.schema(windows.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("requests_stream", "f_req", oracle=f"""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, endpoint, status_code, count(*) AS requests, {rounded('count(*) / 3600e0', 6)} AS rate
+FROM f_req WHERE {_CLOSED.format(t="time_bucket(INTERVAL 1 HOUR, ts)", c="ts", f="f_req")} GROUP BY ALL""")
+def _(spark, d):
+    windows = windowed_requests(b.f_req(_EventStream(spark), d), seconds=3600)
+    out, checkpoint = _places(spark, "requests")
+    _drained(start_metrics(windows, out, checkpoint))
+    read = spark.read.schema(windows.schema).parquet(out)
+    return read.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "rate": round_even(F.col("rate"), 6)})
+
+
 @query("metrics_stream", "f_calls", oracle=f"""
 SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, agent_name, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
   count(*) AS calls, {rounded('sum(input_tokens + output_tokens) / 3600e0', 6)} AS rate

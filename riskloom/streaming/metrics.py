@@ -28,6 +28,31 @@ def windowed_tokens(calls: DataFrame, *, seconds: int = 300, lateness: str = DEF
     )
 
 
+def windowed_counters(calls: DataFrame, *, seconds: int = 300, lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """Tokens by agent, model and direction in each window; state and lateness as above."""
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("token_type"), F.col(f"{side}_tokens").cast("long").alias("n")) for side in ("input", "output")
+    ])
+    return (
+        calls.withWatermark("timestamp", lateness).withColumn("side", F.explode(sides))
+        .groupBy(F.window("timestamp", f"{seconds} seconds").alias("w"), "agent_name", "model", F.col("side.token_type").alias("token_type"))
+        .agg(F.sum("side.n").alias("tokens"))
+        .select(F.col("w.start").alias("window_start"), "agent_name", "model", "token_type", "tokens")
+    )
+
+
+def windowed_requests(requests: DataFrame, *, seconds: int = 300, lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """Requests and their rate by endpoint and status in each window."""
+    return (
+        requests.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "endpoint", "status_code").agg(F.count("*").alias("requests"))
+        .select(
+            F.col("w.start").alias("window_start"), "endpoint", "status_code", "requests",
+            (F.col("requests") / F.lit(float(seconds))).alias("rate"),
+        )
+    )
+
+
 def start_metrics(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed windows to Parquet until the input is used up."""
     return (

@@ -10,6 +10,7 @@ from riskloom import fixed_values as fixed
 from riskloom import schemas
 from riskloom.operators.routing import injection_error, route, stage_events
 from riskloom.operators.safety import scan_fields
+from riskloom.plans.run_pipeline import run_pipeline
 
 
 def detection_events(transactions: DataFrame, detections: DataFrame | None = None) -> DataFrame:
@@ -39,6 +40,14 @@ def detection_events(transactions: DataFrame, detections: DataFrame | None = Non
     )
 
 
+def pipeline_events(
+    transactions: DataFrame, detections: DataFrame, responses: DataFrame, judged: DataFrame, *, audience: str = "analyst"
+) -> DataFrame:
+    """All six events over a stream of transactions; what the remote calls gave is recorded in
+    tables joined on the id. Stateless: each transaction's events leave with its micro-batch."""
+    return stage_events(run_pipeline(transactions, detections, responses, judged, audience=audience, streamed=True))
+
+
 def start_events(events: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Append events to JSON files, each exactly once; ``once`` stops when the input is used up."""
     writer = (
