@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fixed
@@ -136,8 +136,9 @@ def cost_report(records: DataFrame, phase: str | None = None) -> DataFrame:
     section = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "phase").when(F.col("g") == 5, "agent").otherwise("tier")
     name = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, F.col("phase")).when(F.col("g") == 5, F.col("agent_name"))
     each = F.try_divide(F.col("cost"), F.col("transactions"))
-    all_calls = F.max(F.when(F.col("g") == 7, F.col("calls"))).over(Window.partitionBy())
-    return sets.select(
+    # One row for each label: few enough to be one array next to their total.
+    together = sets.agg(F.max(F.when(F.col("g") == 7, F.col("calls"))).alias("all"), F.collect_list(F.struct(*sets.columns)).alias("r"))
+    return together.select("all", F.inline("r")).select(
         section.alias("section"),
         name.otherwise(F.col("tier")).alias("name"),
         "calls",
@@ -146,7 +147,7 @@ def cost_report(records: DataFrame, phase: str | None = None) -> DataFrame:
         round_even(F.col("cost") / F.col("calls"), 8).alias("average_per_call"),
         round_even(each, _DIGITS).alias("average_per_transaction"),
         round_even(each * 100, 4).alias("projected_per_100"),
-        round_even(F.col("calls") * F.lit(100.0) / all_calls, _DIGITS).alias("percent_of_calls"),
+        round_even(F.col("calls") * F.lit(100.0) / F.col("all"), _DIGITS).alias("percent_of_calls"),
         "budget_breaches",
     )
 
