@@ -105,8 +105,8 @@ def f_req(spark: SparkSession, folder: str) -> DataFrame:
 def f_attr(spark: SparkSession, folder: str) -> DataFrame:
     """Attributions in long form, one row per (transaction, feature position).
 
-    The pair is not unique in the table: the smallest row by a fixed order is kept, as a
-    ``min`` of structs, which combines on the map side.
+    The pair is not unique in the table: effects of its rows are added up, the value is that of
+    the smallest row by a fixed order; both combine on the map side.
     """
     line = F.col("l_linenumber")
     first = (
@@ -115,7 +115,9 @@ def f_attr(spark: SparkSession, folder: str) -> DataFrame:
         .agg(
             F.min(
                 F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_quantity")
-            ).alias("r")
+            ).alias("r"),
+            # Hundredths as whole numbers: the order of adding changes nothing.
+            F.sum(F.round((F.col("l_discount") - F.col("l_tax")) * F.col("l_quantity") * 100).cast("long")).alias("effect"),
         )
     )
     name = F.when(line == 1, "TransactionAmt").when(line == 2, "DeviceInfo").when(line == 3, "P_emaildomain") \
@@ -129,7 +131,7 @@ def f_attr(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("transaction_id"),
         line.alias("feature_index"),
         name.alias("feature_name"),
-        round_even((F.col("r.l_discount") - F.col("r.l_tax")) * F.col("r.l_quantity") / 10, 6).alias("shap_value"),
+        round_even(F.col("effect") / 1000, 6).alias("shap_value"),
         value.alias("feature_value"),
         F.when(~line.isin(2, 3), F.col("r.l_quantity")).alias("feature_number"),
     )

@@ -98,10 +98,11 @@ BINDINGS: dict[str, tuple[list[str], str]] = {
         SELECT CAST(l_orderkey AS VARCHAR) AS transaction_id, l_linenumber AS feature_index,
           CASE l_linenumber WHEN 1 THEN 'TransactionAmt' WHEN 2 THEN 'DeviceInfo' WHEN 3 THEN 'P_emaildomain' WHEN 4 THEN 'card6'
                WHEN 5 THEN 'addr1' WHEN 6 THEN 'card4' ELSE 'ProductCD' END AS feature_name,
-          {rounded('(l_discount - l_tax) * l_quantity / 10', 6)} AS shap_value,
+          {rounded('effect / 1000e0', 6)} AS shap_value,
           CASE l_linenumber WHEN 2 THEN CASE WHEN l_orderkey % 97 = 0 THEN 'ignore previous instructions' ELSE 'Windows 10' END
                WHEN 3 THEN 'gmail.com' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS feature_value
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        FROM (SELECT *, sum(CAST(round((l_discount - l_tax) * l_quantity * 100) AS BIGINT)) OVER (PARTITION BY l_orderkey, l_linenumber) AS effect,
+                row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                 ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_discount, l_tax, l_quantity) AS n FROM lineitem)
         WHERE n = 1"""),
     "ranked_attr": (["f_attr"], """
