@@ -43,6 +43,23 @@ def repeated_slots(shas: DataFrame, functions: int, bits: int) -> DataFrame:
     )
 
 
+def possible_members(rows: DataFrame, members: DataFrame, on: list[str], most_bits: int = 2**29) -> DataFrame:
+    """``rows`` with ``maybe``: false only for rows that have no equal in ``members`` on ``on``.
+
+    One bitmap of 16 bits for each member, at most ``most_bits`` / 8 bytes, is broadcast; so a
+    join that follows shuffles the rows that may match, and the others stay where they are.
+    """
+    count, bits = members.count(), BITMAP
+    while bits < min(16 * count, most_bits):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits))
+    hit = members.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    joined = rows.withColumn("slot", slot).join(F.broadcast(settle(hit)), F.bitmap_bucket_number("slot") == F.col("bucket"), "left")
+    return joined.withColumn("maybe", _has_bit(F.col("bits"), F.bitmap_bit_position("slot"))).select(*rows.columns, "maybe")
+
+
 def exact_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", functions: int = 2, most_bits: int = 2**29,
 ) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.bloom_dedup import possible_members
 from riskloom.llm.components import components
 from riskloom.llm.frames import join_groups, located, packed, place, text_or_empty, unpacked
 from riskloom.session import settle
@@ -198,6 +199,7 @@ def near_links(
 
     at = place(docs)
     texts = docs.select(at.getField("file").alias("f"), at.getField("row").alias("r"), text_or_empty(docs, text).alias("t"))
+    texts = possible_members(texts, reps, ["f", "r"]).where("maybe")
     sets = settle(texts.join(reps, ["f", "r"]).select("c", "members", "t").mapInPandas(to_sets, "c long, members long, s array<long>"))
 
     left = sets.select(F.col("c").alias("a"), F.col("members").alias("ma"), F.col("s").alias("sa"))
