@@ -7,9 +7,10 @@ from riskloom.operators.attribution import topk_rows
 from riskloom.operators.timeseries import rate_limit
 from riskloom.registry import bindings as b
 
+# What these return is read from what their jobs wrote, or is a single number.
 EAGER = {
-    "train_gbt", "auc_pr", "score_batch", "tree_attributions", "detect", "auc_roc", "preprocess", "smote", "minority_knn",
-    "stage_events_stream", "metrics_stream", "duplicate_ids_stream", "append_call_log",
+    "train_gbt", "auc_pr", "auc_roc", "stage_events_stream", "pipeline_events_stream", "metrics_stream", "counters_stream",
+    "requests_stream", "duplicate_ids_stream", "append_call_log",
 }
 
 
