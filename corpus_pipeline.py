@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bloom_dedup, language, lsh_forest, packing, quality
-from riskloom.llm.frames import located, place
+from riskloom.llm.frames import located, packed, place, unpacked
 from riskloom.session import settle
 
 
@@ -33,7 +33,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = located(docs)
     dropped = settle(lsh_forest.near_links(docs).where("NOT kept").select("place"))
-    return docs.withColumn("__place", place(docs)).join(dropped, F.col("__place") == dropped.place, "left_anti").select(docs.columns)
+    rows = bloom_dedup.possible_members(packed(docs, place=place(docs)), dropped, ["place"])
+    stays = rows.where("maybe").join(dropped, "place", "left_anti").select("row").unionByName(rows.where("NOT maybe").select("row"))
+    return unpacked(stays, docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     large = F.broadcast(groups.where(hot))
     rest = rows.join(large.select(key), key, "left_anti").join(groups.where(~hot), key)
     return rows.join(large, key).unionByName(rest)
+
+#: Rows that Spark sends to a Python worker at once, where the session has not chosen a number.
+BATCH_ROWS = 500
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Bounds what a Python worker holds of whole texts; a session's own setting is left alone."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH, str(BATCH_ROWS))

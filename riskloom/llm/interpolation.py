@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import located, place, remainder, text_or_empty
+from riskloom.llm.frames import located, place, remainder, small_batches, text_or_empty
 from riskloom.session import settle
 
 ORDER = 2
@@ -221,6 +221,7 @@ def score(
     empty text is one end; a null key counts as the empty text. Repeated rows are learned and
     scored each. Without a training document each token scores 0. An empty table stays empty.
     """
+    small_batches(docs)
     docs = located(docs)
     kind = docs.schema[key].dataType.simpleString()
     at = place(docs)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.bloom_dedup import possible_members
 from riskloom.llm.components import components
-from riskloom.llm.frames import join_groups, located, packed, place, text_or_empty, unpacked
+from riskloom.llm.frames import join_groups, located, packed, place, small_batches, text_or_empty, unpacked
 from riskloom.session import settle
 
 WORDS = 5
@@ -172,6 +172,7 @@ def near_links(
     smallest key (null last; among repeated rows the first). Texts without words are copies of
     each other and of nothing else. A null text counts as empty.
     """
+    small_batches(docs)
     depth = prefix_depth(trees, deepest, threshold, recall)
     signed = settle(_signed(docs, key, text, words, trees, depth))
     classes = signed.groupBy("same").agg(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.encoders import default_path, encoder
-from riskloom.llm.frames import text_or_empty
+from riskloom.llm.frames import small_batches, text_or_empty
 from riskloom.session import settle
 
 SIZE = 1024
@@ -114,6 +114,7 @@ def pack(
     ``docs`` are left out. A null or empty text is one piece of one id. Full pieces are sequences
     of their own. Repeated rows are packed each. An empty table gives an empty table.
     """
+    small_batches(docs)
     cut = settle(pieces(docs, path, key, text, size).withColumn("n", F.monotonically_increasing_id()))
     full = cut.where(F.col("length") == size).withColumns({"sequence_id": -F.col("n") - 1, "offset": F.lit(0).cast("long")})
     short = cut.where(F.col("length") < size)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import packed, text_or_empty, unpacked
+from riskloom.llm.frames import packed, small_batches, text_or_empty, unpacked
 from riskloom.session import settle
 
 FIT_ROWS = 20_000
@@ -72,6 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
     Labels other than 0 and 1 are left out. Without any labelled row the model says 1/2.
     """
+    small_batches(docs)
     known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).where("y IN (0, 1)")
     wanted = known.orderBy(F.xxhash64("k"), "k", "y").limit(fit_rows)
     rows = docs.select(docs[key].alias("k"), text_or_empty(docs).alias("t")).join(F.broadcast(wanted), "k")
@@ -140,6 +141,7 @@ def classify(
     site of its own. Repeated rows count each. Columns named like a result are replaced; an
     empty table stays empty.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

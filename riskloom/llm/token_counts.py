@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.encoders import default_path, encoder
-from riskloom.llm.frames import packed, text_or_empty, unpacked
+from riskloom.llm.frames import packed, small_batches, text_or_empty, unpacked
 from riskloom.session import settle
 
 CHUNK = 2**15
@@ -83,6 +83,7 @@ def token_counts(
     named like a result are replaced; an empty table stays empty. Documents of up to ``chunk``
     characters are encoded where they are read, without a shuffle.
     """
+    small_batches(docs)
     path = path or default_path()
 
     @F.pandas_udf("long")

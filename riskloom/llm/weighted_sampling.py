@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import located, place, text_or_empty
+from riskloom.llm.frames import located, place, small_batches, text_or_empty
 from riskloom.llm.lsh_forest import WORDS, ngrams
 
 SAMPLES = 64
@@ -87,6 +87,7 @@ def _hex(samples: np.ndarray) -> str:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, samples: int = SAMPLES) -> DataFrame:
     """One row (key as doc_id, n_chars, fingerprint) per row of ``docs``, without a shuffle."""
+    small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
 
     def apply(batches):
@@ -145,6 +146,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     alike (1), one with and one without are not (0). Returns doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next. An empty table gives an empty table.
     """
+    small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
 
     def apply(batches):
