@@ -8,7 +8,6 @@ length, so memory does not depend on the length of a text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import packed, remainder, unpacked
+from riskloom.llm.frames import packed, remainder, small_batches, unpacked
 
 LONGEST = 3
 BUCKETS = 2**16
 SLICE = 2**19
 MATRIX_BYTES = 2**28
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -54,6 +52,7 @@ def grams(text: str, buckets: int) -> Iterator[np.ndarray]:
 
 def learn(docs: DataFrame, buckets: int = BUCKETS, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Counts every row with text and language; add-one smoothing; priors by documents."""
+    small_batches(docs)
     rows = docs.select(docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
@@ -87,7 +86,7 @@ def learn(docs: DataFrame, buckets: int = BUCKETS, text: str = "text", lang: str
 
 def predict(text: str | None, model: LanguageModel) -> tuple[str, float]:
     """Language and its posterior; ``und`` with 0 for null, no letter, or an empty model."""
-    if text is None or not model.languages or not _LETTER.search(text):
+    if text is None or not model.languages or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0
     total = model.log_prior.copy()
     for part in grams(text, len(model.log_prob)):
@@ -103,6 +102,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     Only the text is looked at. Ties go to the language first in the alphabet. Columns named
     like a result are replaced; empty tables stay empty; repeated rows get equal results.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
