@@ -22,6 +22,7 @@ in packets by ranges of the unit's hash, and get the ids back in order.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -30,21 +31,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.frames import located, place, text_or_empty
+from riskloom.llm.frames import located, place, small_batches, text_or_empty
 from riskloom.llm.interpolation import packed, unpacked
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 MASK_PLACES = 62
-BLOCK_BYTES = 2**23
-RANGE_BYTES = 2**23
-UNITS_A_TASK = 50_000
+BLOCK_BYTES = 2**22
+RANGE_BYTES = 2**21
 PIECES_AT_MOST = 2**18
 
 
@@ -104,11 +103,11 @@ def units(text: str) -> list[str]:
 
 _BIT = "shiftright(b, x.{0}) & 1L = 1L"
 _INSIDE = "(b & (shiftleft(1L, x.e) - shiftleft(1L, x.s + 1)))"
-_MERGES = f"""aggregate(array_sort(transform(filter(edges, x -> x.e - x.s > 1), x -> struct(-x.score AS r, x.s AS s, x.e AS e))),
+_MERGES = f"""aggregate(sort_array(transform(filter(edges, x -> x.e - x.s > 1), x -> struct(-x.score AS r, x.s AS s, x.e AS e))),
     shiftleft(1L, n + 1) - 1L,
     (b, x) -> CASE WHEN {_BIT.format("s")} AND {_BIT.format("e")} AND {_INSIDE} <> 0L AND ({_INSIDE} & ({_INSIDE} - 1L)) = 0L
                    THEN b & ~{_INSIDE} ELSE b END)"""
-_PATH_OF_MASK = f"""array_sort(transform(filter(edges, x -> {_BIT.format("s")} AND {_BIT.format("e")} AND {_INSIDE} = 0L),
+_PATH_OF_MASK = f"""sort_array(transform(filter(edges, x -> {_BIT.format("s")} AND {_BIT.format("e")} AND {_INSIDE} = 0L),
     x -> struct(x.s AS s, x.id AS id)))"""
 _VITERBI = """aggregate(sequence(1, n), array(struct(0D AS score, -1 AS s, CAST(NULL AS INT) AS id)),
     (best, p) -> concat(best, array(array_max(transform(filter(edges, x -> x.e = p),
@@ -118,27 +117,30 @@ _PATH_OF_BEST = """reverse(aggregate(sequence(1, n), struct(n AS at, array_repea
                    ELSE struct(best[a.at].s AS at, concat(a.path, array(struct(best[a.at].s AS s, best[a.at].id AS id))) AS path) END).path)"""
 
 
-def lattice(found: DataFrame, table: Pieces, tasks: int) -> DataFrame:
-    """Units (g, unit) to (g, path): the start and id of each piece in order; id null for a
-    character that is no piece. Units that the library must encode are left out."""
+def lattice(found: DataFrame, table: Pieces, ranges: int) -> DataFrame:
+    """Units (range, g, unit) to (range, g, path): the start and id of each piece in order; id
+    null for a character that is no piece. Units that the library must encode are left out.
+
+    Ranges of units are partitioned once; grouping the edges by unit needs no further shuffle.
+    """
     spark = found.sparkSession
     schema = "piece string, id int, score double, late boolean"
     pieces_ = F.broadcast(spark.createDataFrame(table.rows, schema))  # PIECES_AT_MOST rows at most
-    each = f"""explode(flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({table.longest}, n - s)),
-        l -> struct(s AS s, s + l AS e, substring(unit, s + 1, l) AS piece)))))"""
-    dealt = found.withColumn("n", F.length("unit")).where((F.col("n") > 0) & (F.col("n") <= MASK_PLACES)).repartition(tasks, "g")
-    spans = dealt.select("g", "n", F.expr(each).alias("x")).select("g", "n", "x.s", "x.e", "x.piece")
+    dealt = found.withColumn("n", F.length("unit")).where((F.col("n") > 0) & (F.col("n") <= MASK_PLACES)).repartition(ranges, "range")
+    starts = dealt.select("range", "g", "n", "unit", F.explode(F.expr("sequence(0, n - 1)")).alias("s"))
+    ends = starts.select("range", "g", "n", "unit", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {table.longest}, n))")).alias("e"))
+    spans = ends.select("range", "g", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece"))
     unknown = min((r[2] for r in table.rows), default=0.0) - 10.0
     edges = spans.join(pieces_, "piece", "left").where((F.col("e") - F.col("s") == 1) | F.col("id").isNotNull())
-    edges = edges.groupBy("g", "n").agg(
+    edges = edges.groupBy("range", "g", "n").agg(
         F.collect_list(F.struct("s", "e", F.coalesce("score", F.lit(unknown)).alias("score"), "id")).alias("edges"),
         F.max(F.coalesce("late", F.lit(False))).alias("late"),
     ).where("NOT late")
     if table.unigram:
-        best = edges.select("g", "n", F.expr(_VITERBI).alias("best"))
-        return best.select("g", F.expr(_PATH_OF_BEST).alias("path"))
-    masks = edges.select("g", "edges", F.expr(_MERGES).alias("b"))
-    return masks.select("g", F.expr(_PATH_OF_MASK).alias("path"))
+        best = edges.select("range", "g", "n", F.expr(_VITERBI).alias("best"))
+        return best.select("range", "g", F.expr(_PATH_OF_BEST).alias("path"))
+    masks = edges.select("range", "g", "edges", F.expr(_MERGES).alias("b"))
+    return masks.select("range", "g", F.expr(_PATH_OF_MASK).alias("path"))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -147,6 +149,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     A null text counts as empty and has no ids; a literal U+2581 counts as a blank, as it does in
     the library. Repeated rows are encoded each; an empty table stays empty.
     """
+    small_batches(docs)
     path = path or default_path()
     table = pieces(path)
     docs = located(docs)
@@ -154,24 +157,26 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
     @F.pandas_udf("binary")
     def squeezed(texts: pd.Series) -> pd.Series:
-        return pd.Series([zstandard.ZstdCompressor(level=3).compress(t.encode("utf-8", "surrogatepass")) for t in texts])
+        tight = zstandard.ZstdCompressor(level=3)
+        return pd.Series([tight.compress(t.encode("utf-8", "surrogatepass")) for t in texts])
 
     t = text_or_empty(docs, text)
     size = docs.agg(F.sum(F.octet_length(t) + 1).alias("n")).first()["n"] or 0
-    blocks, ranges = size // block_bytes + 1, 1 << (size // RANGE_BYTES).bit_length()
-    shift = 64 - ranges.bit_length() + 1
+    blocks, bits = size // block_bytes + 1, min(24, (size // RANGE_BYTES).bit_length())
     rows = docs.select(docs[key].alias("k"), F.xxhash64(place(docs)).alias("place"), squeezed(t).alias("z"))
     rows = rows.withColumn("block", F.pmod(F.col("place"), F.lit(blocks)))
+    lengths = {i: len(p) for p, i, _, _ in table.rows}
 
-    def split(frame: pd.DataFrame) -> list[list[str]]:
+    def split(frame: pd.DataFrame):
         open_ = zstandard.ZstdDecompressor()
-        return [units(open_.decompress(z).decode("utf-8", "surrogatepass")) for z in frame["z"]]
+        for z in frame["z"]:
+            yield units(open_.decompress(z).decode("utf-8", "surrogatepass"))
 
-    def by_range(texts: list[list[str]]) -> dict[int, list[str]]:
-        """Distinct units by range of their hash, in order."""
+    def by_range(found: dict[str, None]) -> dict[int, list[str]]:
+        """Distinct units by range of their hash, in the order of their first place."""
         out: dict[int, list[str]] = {}
-        for unit in sorted(set().union(*texts)):
-            out.setdefault(xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass")) >> shift if ranges > 1 else 0, []).append(unit)
+        for unit in found:
+            out.setdefault(zlib.crc32(unit.encode("utf-8", "surrogatepass")) >> (32 - bits), []).append(unit)
         return out
 
     def joined(found: list[str]) -> bytes:
@@ -181,57 +186,74 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass").split(" ")
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        found = by_range(split(frame.sort_values("place")))
-        return pd.DataFrame({"range": list(found), "block": frame["block"].iloc[0], "units": [joined(u) for u in found.values()]})
+        seen: dict[str, None] = {}
+        for found in split(frame.sort_values("place")):
+            seen.update(dict.fromkeys(found))
+        ranges = by_range(seen)
+        return pd.DataFrame({"range": list(ranges), "block": frame["block"].iloc[0], "units": [joined(u) for u in ranges.values()]})
 
     def distinct(frame: pd.DataFrame) -> pd.DataFrame:
         found = sorted(set().union(*map(parted, frame["units"])))
-        return pd.DataFrame({"g": np.arange(len(found)) + (int(frame["range"].iloc[0]) << 40), "unit": found})
+        own = int(frame["range"].iloc[0])
+        return pd.DataFrame({"range": own, "g": np.arange(len(found)) + (own << 40), "unit": found})
 
     def answer(frame: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         asked = [parted(u) for u in frame["units"]]
         found = sorted(set().union(*asked))
-        paths = dict(zip(codes["g"].to_numpy() & ((1 << 40) - 1), zip(codes["starts"], codes["ids"])))
-        ids = {unit: _ids(unit, paths.get(i), table.byte_ids, path) for i, unit in enumerate(found)}
-        coded = [[ids[u] for u in units_] for units_ in asked]
-        return pd.DataFrame({
-            "block": frame["block"], "range": frame["range"],
-            "sizes": [packed(np.array([len(x) for x in c], dtype=np.uint32)) for c in coded],
-            "ids": [packed(np.concatenate(c).astype(np.uint32)) for c in coded],
-        })
+        paths = dict(zip(codes["g"].to_numpy() & ((1 << 40) - 1), codes["ids"]))
+        ids = [_ids(unit, paths.get(i), table.byte_ids, lengths, path) for i, unit in enumerate(found)]
+        sizes, flat = np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids)
+        starts, index = np.cumsum(sizes) - sizes, {unit: i for i, unit in enumerate(found)}
+        out = []
+        for own in asked:
+            at = np.fromiter(map(index.__getitem__, own), dtype=np.int64, count=len(own))
+            out.append((packed(sizes[at].astype(np.uint32)), packed(_gathered(flat, starts, sizes, at).astype(np.uint32))))
+        return pd.DataFrame({"block": frame["block"], "range": frame["range"], "sizes": [a for a, _ in out], "ids": [b for _, b in out]})
 
     def fill(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
-        texts = split(frame)
+        texts = list(split(frame))
         got = {r: (s, i) for r, s, i in zip(answers["range"], answers["sizes"], answers["ids"])} if len(answers) else {}
-        ids: dict[str, np.ndarray] = {}
-        for r, found in by_range(texts).items():
-            sizes, flat = unpacked(got[r][0], np.uint32), unpacked(got[r][1], np.uint32).astype(np.int32)
-            ids.update(zip(found, np.split(flat, np.cumsum(sizes)[:-1])))
-        none = np.empty(0, dtype=np.int32)
-        return pd.DataFrame({"doc_id": frame["k"], "ids": [np.concatenate([ids[u] for u in x]) if x else none for x in texts]})
-
-    asked = rows.groupBy("block").applyInPandas(ask, "range long, block long, units binary")
-    found = asked.groupBy("range").applyInPandas(distinct, "g long, unit string")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 2**24 * 4)
-    codes = lattice(found, table, tasks).select(
-        F.shiftright("g", 40).alias("range"), "g", F.transform("path", lambda x: x.s).alias("starts"),
-        F.transform("path", lambda x: F.coalesce(x.id, F.lit(-1))).alias("ids"),
-    )
+        index: dict[str, int] = {}
+        sizes, flat = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.uint32)]
+        seen: dict[str, None] = {}
+        for found in texts:
+            seen.update(dict.fromkeys(found))
+        for r, found in by_range(seen).items():
+            index.update(zip(found, range(len(index), len(index) + len(found))))
+            sizes.append(unpacked(got[r][0], np.uint32))
+            flat.append(unpacked(got[r][1], np.uint32))
+        sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
+        each = [np.fromiter(map(index.__getitem__, x), dtype=np.int64, count=len(x)) for x in texts]
+        return pd.DataFrame({"doc_id": frame["k"], "ids": [_gathered(flat, starts, sizes, at) for at in each]})
+
+    # Partitioned once; what follows by range, the lattice included, finds its rows in place.
+    asked = rows.groupBy("block").applyInPandas(ask, "range long, block long, units binary").repartition(1 << bits, "range")
+    found = asked.groupBy("range").applyInPandas(distinct, "range long, g long, unit string")
+    codes = lattice(found, table, 1 << bits).select("range", "g", F.transform("path", lambda x: F.coalesce(x.id, F.lit(-1))).alias("ids"))
     answers = asked.groupBy("range").cogroup(codes.groupBy("range")).applyInPandas(answer, "block long, range long, sizes binary, ids binary")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(fill, f"doc_id {kind}, ids array<int>")
 
 
-def _ids(unit: str, path_of: tuple | None, byte_ids: list[int], path: str) -> np.ndarray:
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs numbered ``at`` of ``flat``, one after the other."""
+    own = sizes[at]
+    before = np.cumsum(own) - own
+    return flat[np.repeat(starts[at] - before, own) + np.arange(own.sum())]
+
+
+def _ids(unit: str, ids: np.ndarray | None, byte_ids: list[int], lengths: dict[int, int], path: str) -> np.ndarray:
     """Ids of a unit from its path; bytes for characters without a piece; else the library's."""
-    if path_of is None:
+    if ids is None:
         return np.array(_library(path).encode("\n" + unit)[2:], dtype=np.int32)  # blank and line break come first
-    starts, ids = path_of
-    if min(ids) >= 0:
-        return np.asarray(ids, dtype=np.int32)
+    if ids.min() >= 0:
+        return ids
     out: list[int] = []
-    for start, id_ in zip(starts, ids):
-        out += [id_] if id_ >= 0 else [byte_ids[b] for b in unit[start].encode("utf-8", "surrogatepass")]
+    at = 0
+    for id_ in ids.tolist():
+        out += [id_] if id_ >= 0 else [byte_ids[b] for b in unit[at].encode("utf-8", "surrogatepass")]
+        at += lengths[id_] if id_ >= 0 else 1
     return np.array(out, dtype=np.int32)
 
 
@@ -242,16 +264,16 @@ def decoded(ids: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf(T.StringType())
     def apply(column: pd.Series) -> pd.Series:
-        words = _bytes_of(path)
-        out = []
-        for each in column:
-            data = None if each is None else b"".join([words[i] for i in each])
-            out.append(None if data is None else data.decode("utf-8", "replace").replace(BLANK, " ").removeprefix(" "))
-        return pd.Series(out)
+        return pd.Series([None if each is None else _text_of(each, path) for each in column])
 
     return apply(ids)
 
 
+def _text_of(ids: np.ndarray, path: str) -> str:
+    data = b"".join(map(_bytes_of(path).__getitem__, ids.tolist()))
+    return data.decode("utf-8", "replace").replace(BLANK, " ").removeprefix(" ")
+
+
 @lru_cache(maxsize=2)
 def _bytes_of(path: str) -> list[bytes]:
     library = _library(path)
@@ -265,11 +287,14 @@ def _bytes_of(path: str) -> list[bytes]:
     return out
 
 
-def ids_crc32(ids: Column) -> Column:
-    """crc32 of the ids as little-endian unsigned 32-bit numbers."""
+def digests(ids: Column, path: str | None = None) -> Column:
+    """A struct of ids_crc32 (the ids as little-endian unsigned 32-bit numbers) and decoded_sha256
+    (what they decode to), without sending the text back."""
+    path = path or default_path()
 
-    @F.pandas_udf("long")
-    def apply(column: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in column], dtype="int64")
+    @F.pandas_udf("ids_crc32 long, decoded_sha256 string")
+    def apply(column: pd.Series) -> pd.DataFrame:
+        rows = [(zlib.crc32(x.astype("<u4").tobytes()), hashlib.sha256(_text_of(x, path).encode()).hexdigest()) for x in column]
+        return pd.DataFrame(rows, columns=["ids_crc32", "decoded_sha256"])
 
     return apply(ids)

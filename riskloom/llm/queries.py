@@ -27,10 +27,8 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     coded = piece_lattice.encode(documents(spark, folder))
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), piece_lattice.ids_crc32(F.col("ids")).alias("ids_crc32"),
-        F.sha2(piece_lattice.decoded(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), piece_lattice.digests(F.col("ids")).alias("d"))
+    return coded.select("doc_id", "n_pieces", "d.ids_crc32", "d.decoded_sha256")
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
