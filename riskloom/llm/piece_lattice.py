@@ -42,7 +42,7 @@ from riskloom.llm.interpolation import packed, unpacked
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 MASK_PLACES = 62
-BLOCK_BYTES = 2**22
+BLOCK_BYTES = 2**23
 RANGE_BYTES = 2**21
 PIECES_AT_MOST = 2**18
 
