@@ -37,6 +37,7 @@ RANGE_BYTES = 2**23
 BUCKETS = 64
 BINS = 4096
 STEPS = 16  # bins for each power of two of the ratio
+TOTALS = np.uint64  # of the whole table; a block's own counts fit 32 bits
 END = b"\n"  # no word contains it
 _START, _ODD = np.uint64(0x452821E638D01377), np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,6 +90,32 @@ def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return lengths, out
 
 
+def _answered(frame: pd.DataFrame) -> pd.DataFrame:
+    """The packets of one range with totals for counts."""
+    grams = [np.cumsum(unpacked(g, np.uint64), dtype=np.uint64) for g in frame["grams"]]
+    counts = np.concatenate([unpacked(c, np.uint32) for c in frame["counts"]])
+    _, at = np.unique(np.concatenate(grams), return_inverse=True)
+    totals = np.bincount(at, weights=counts)[at].astype(TOTALS)
+    ends = np.cumsum([len(g) for g in grams])
+    return pd.DataFrame({"range": frame["range"], "block": frame["block"], "totals": [packed(t) for t in np.split(totals, ends[:-1])]})
+
+
+def _looked_up(frame: pd.DataFrame, answers: pd.DataFrame, order: int) -> pd.DataFrame:
+    """The documents of one block with the totals of their n-grams."""
+    frame = frame.sort_values("place")
+    lengths, grams = _ngrams(frame["t"].tolist(), order)
+    _, at = np.unique(grams.reshape(-1), return_inverse=True)
+    totals = np.concatenate([unpacked(t, TOTALS) for t in answers.sort_values("range")["totals"]])
+    counts = totals[at].reshape(order, -1)
+    starts = np.cumsum(lengths) - lengths
+    each = 1.0 / np.maximum(1, counts[0])
+    return pd.DataFrame({
+        "k": frame["k"], "train": frame["train"], "tokens": lengths,
+        "known": np.add.reduceat((counts[0] > 0).astype(np.int64), starts), "types": np.add.reduceat(each, starts),
+        "counts": [packed(np.ascontiguousarray(counts[:, a : a + n]).reshape(-1)) for a, n in zip(starts, lengths)],
+    })
+
+
 def _counted(rows: DataFrame, order: int, ranges: int, kind: str) -> DataFrame:
     """Per document (k, train): tokens, known, types (each training token counts 1 / its count,
     which adds up to the number of distinct ones) and the packed counts of its n-grams."""
@@ -106,31 +133,11 @@ def _counted(rows: DataFrame, order: int, ranges: int, kind: str) -> DataFrame:
         return pd.DataFrame({"range": some, "block": frame["block"].iloc[0], "grams": [packed(s) for s in steps],
                              "counts": [packed(counts[cut[r] : cut[r + 1]]) for r in some]})
 
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.cumsum(unpacked(g, np.uint64), dtype=np.uint64) for g in frame["grams"]]
-        counts = np.concatenate([unpacked(c, np.uint32) for c in frame["counts"]])
-        _, at = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(at, weights=counts)[at].astype(np.int64)
-        ends = np.cumsum([len(g) for g in grams])
-        return pd.DataFrame({"range": frame["range"], "block": frame["block"],
-                             "totals": [packed(t) for t in np.split(np.minimum(totals, 2**32 - 1).astype(np.uint32), ends[:-1])]})
-
     def look_up(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        lengths, grams = _ngrams(frame["t"].tolist(), order)
-        _, at = np.unique(grams.reshape(-1), return_inverse=True)
-        totals = np.concatenate([unpacked(t, np.uint32) for t in answers.sort_values("range")["totals"]])
-        counts = totals[at].reshape(order, -1)
-        starts = np.cumsum(lengths) - lengths
-        each = 1.0 / np.maximum(1, counts[0])
-        return pd.DataFrame({
-            "k": frame["k"], "train": frame["train"], "tokens": lengths,
-            "known": np.add.reduceat((counts[0] > 0).astype(np.int64), starts), "types": np.add.reduceat(each, starts),
-            "counts": [packed(np.ascontiguousarray(counts[:, a : a + n]).reshape(-1)) for a, n in zip(starts, lengths)],
-        })
+        return _looked_up(frame, answers, order)
 
     asked = rows.groupBy("block").applyInPandas(ask, "range long, block long, grams binary, counts binary")
-    answers = asked.groupBy("range").applyInPandas(answer, "range long, block long, totals binary")
+    answers = asked.groupBy("range").applyInPandas(_answered, "range long, block long, totals binary")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         look_up, f"k {kind}, train boolean, tokens long, known long, types double, counts binary"
     )
@@ -195,7 +202,7 @@ def learn(counted: DataFrame, order: int = ORDER) -> Model:
             sums = np.zeros((BUCKETS, BINS), dtype=np.int64)
             for batch in batches:
                 for data in batch["counts"]:
-                    counts = unpacked(data, np.uint32).reshape(order, -1)[:k]
+                    counts = unpacked(data, TOTALS).reshape(order, -1)[:k]
                     ratio, bucket, _ = model.estimates(counts, deleted=1)
                     bins = np.zeros(len(ratio), dtype=np.int64)
                     more = ratio > 0
@@ -211,6 +218,20 @@ def learn(counted: DataFrame, order: int = ORDER) -> Model:
     return model
 
 
+def _scored(counted: DataFrame, model: Model, order: int) -> DataFrame:
+    shared = counted.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("base double, score double")
+    def apply(data: pd.Series) -> pd.DataFrame:
+        counts = [unpacked(d, TOTALS).reshape(order, -1) for d in data]
+        return pd.DataFrame([(shared.value.log10(c[:1]), shared.value.log10(c)) for c in counts], columns=["base", "score"])
+
+    return counted.withColumn("s", apply("counts")).select(
+        F.col("k").alias("doc_id"), (~F.col("train")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"), F.col("s.base").alias("base_score"), F.col("s.score").alias("score"),
+    )
+
+
 def score(
     docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -230,15 +251,4 @@ def score(
     blocks, ranges = size // block_bytes + 1, 1 << (size // RANGE_BYTES).bit_length()
     rows = rows.withColumn("block", F.pmod(F.col("place"), F.lit(blocks)))
     counted = settle(_counted(rows, order, ranges, kind))
-    model = learn(counted, order)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("base double, score double")
-    def apply(data: pd.Series) -> pd.DataFrame:
-        counts = [unpacked(d, np.uint32).reshape(order, -1) for d in data]
-        return pd.DataFrame([(shared.value.log10(c[:1]), shared.value.log10(c)) for c in counts], columns=["base", "score"])
-
-    return counted.withColumn("s", apply("counts")).select(
-        F.col("k").alias("doc_id"), (~F.col("train")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), F.col("s.base").alias("base_score"), F.col("s.score").alias("score"),
-    )
+    return _scored(counted, learn(counted, order), order)

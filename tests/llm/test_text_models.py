@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -194,6 +195,35 @@ def test_interpolation_of_edges(edges, clashing, nothing):
     assert all(r.base_score == 0 and r.n_known == 0 for r in interpolation.score(only_held_out).collect())
 
 
+def test_totals_beyond_32_bits(spark):
+    """Two blocks of three thousand million "a" each: totals, types, weights and scores stay exact."""
+    text, big = "a b", 3 * 10**9
+    lengths, grams = interpolation._ngrams([text], 2)
+    known = np.unique(grams.reshape(-1))
+    own = np.full(len(known), 7, dtype=np.uint32)
+    own[np.searchsorted(known, grams[:, 0])] = big  # "a", and "a" after the start
+    steps = np.diff(known, prepend=np.uint64(0))
+    asked = pd.DataFrame({"range": [0, 0], "block": [0, 1], "grams": [interpolation.packed(steps)] * 2, "counts": [interpolation.packed(own)] * 2})
+    answers = interpolation._answered(asked)
+    for totals in answers["totals"]:
+        assert interpolation.unpacked(totals, interpolation.TOTALS).tolist() == (own.astype(np.int64) * 2).tolist()
+    frame = pd.DataFrame({"k": [1], "train": [True], "place": [0], "t": [text]})
+    found = interpolation._looked_up(frame, answers[:1], 2)
+    counts = interpolation.unpacked(found["counts"][0], interpolation.TOTALS).reshape(2, -1)
+    assert counts[:, 0].tolist() == [2 * big] * 2 and counts[:, 1:].tolist() == [[14, 14]] * 2
+    assert math.isclose(found["types"][0], 1 / (2 * big) + 2 / 14)
+    counted = spark.createDataFrame(found, "k long, train boolean, tokens long, known long, types double, counts binary")
+    learned = interpolation.learn(counted, 2)
+    assert learned.weights[2][int(math.log2(2 * big - 1)) + 1] > 0  # the bucket of "a" as a context
+    model = interpolation.Model(2 * big + 28, 3, 2 * big)
+    model.weights = {2: np.full(interpolation.BUCKETS, 0.25)}
+    (row,) = interpolation._scored(counted, model, 2).collect()
+    single = [(c + 1) / (model.total + 4) for c in (2 * big, 14, 14)]
+    pair = [0.25 * r + 0.75 * p for r, p in zip((1, 14 / (2 * big), 1), single)]
+    assert math.isclose(row.base_score, sum(map(math.log10, single)), rel_tol=1e-12)
+    assert math.isclose(row.score, sum(map(math.log10, pair)), rel_tol=1e-12)
+
+
 def test_language(spark, folder, docs, edges, clashing, nothing):
     rows = QUERIES["op10_language"](spark, folder).collect()
     truth = {r.doc_id: r for r in docs.collect()}
