@@ -8,7 +8,6 @@ keep one document of each group, and the last stage packs what is left.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskloom.llm import bloom_dedup, language, lsh_forest, packing, quality
 from riskloom.llm.frames import located, packed, place, unpacked
@@ -21,9 +20,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays below one half."""
-    found = language.identify(docs, language.learn(language.trained_on(docs)))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)).select(docs.columns)
+    """Drops documents without a letter, those whose language stays below one half, and those
+    less likely, by n-gram, than documents of their language are (other languages, gibberish).
+    """
+    known = language.trained_on(docs)
+    model = language.learn(known)
+    return language.in_languages(docs, model, language.floors(known, model))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

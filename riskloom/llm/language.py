@@ -23,6 +23,8 @@ BUCKETS = 2**16
 SLICE = 2**19
 MATRIX_BYTES = 2**28
 UNDETERMINED = "und"
+MARGIN = 2.0  # nats an n-gram by which a text may fall below its language's median, at least
+STRAY = 6.0  # nats by which the sum of n n-grams strays, for each square root of n
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -84,9 +86,13 @@ def learn(docs: DataFrame, buckets: int = BUCKETS, text: str = "text", lang: str
     return LanguageModel(languages, np.ascontiguousarray(log_prob.T, dtype=np.float32), np.log(documents / max(1.0, documents.sum())))
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def predict(text: str | None, model: LanguageModel) -> tuple[str, float]:
     """Language and its posterior; ``und`` with 0 for null, no letter, or an empty model."""
-    if text is None or not model.languages or not any(map(str.isalpha, text)):
+    if not model.languages or not has_letter(text):
         return UNDETERMINED, 0.0
     total = model.log_prior.copy()
     for part in grams(text, len(model.log_prob)):
@@ -116,3 +122,62 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 def trained_on(docs: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
     """The documents to learn from: crc32 of the key as text modulo ``folds`` is not 0."""
     return docs.where(remainder(docs[key], folds) != 0)
+
+
+def closeness(text: str | None, model: LanguageModel) -> tuple[str, float, float, int]:
+    """Language, its posterior, the mean log-probability of an n-gram in it, and the n-grams.
+
+    The posterior saturates with the length of a text; the mean does not, and is low for a text
+    in none of the languages. ``und`` as in ``predict``.
+    """
+    if not model.languages or not has_letter(text):
+        return UNDETERMINED, 0.0, 0.0, 0
+    total, n = np.zeros(len(model.languages)), 0
+    for part in grams(text, len(model.log_prob)):
+        total += model.log_prob[part].sum(axis=0, dtype=np.float64)
+        n += len(part)
+    odds = np.exp(total + model.log_prior - (total + model.log_prior).max())
+    best = int(odds.argmax())
+    return model.languages[best], float(odds[best] / odds.sum()), float(total[best] / n), n
+
+
+def floors(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """By language, the least mean log-probability of a long text in it.
+
+    That is the median of the documents of that language in ``docs`` (those the model was learned
+    from), less ``MARGIN`` or twice the distance from the median to their 5 % quantile, whichever
+    is more. Few documents give a flat model, whose floors reject little or nothing.
+    """
+    small_batches(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("found string, mean double")
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([closeness(t, shared.value)[::2][:2] for t in texts], columns=["found", "mean"])
+
+    rows = docs.select(docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
+    scored = rows.select("lang", apply("t").alias("s")).where("s.found = lang")
+    found = scored.groupBy("lang").agg(F.percentile_approx("s.mean", [0.5, 0.05], 10000).alias("q")).collect() if model.languages else []
+    return {r.lang: r.q[0] - max(MARGIN, 2 * (r.q[0] - r.q[1])) for r in found}
+
+
+def belongs(text: str | None, model: LanguageModel, least: dict[str, float], posterior: float = 0.5) -> bool:
+    """Whether a text has a letter and is in a learned language, as far as its length can tell.
+
+    Its mean log-probability may be below the language's floor by ``STRAY`` / sqrt(n-grams), so
+    texts of a few letters pass.
+    """
+    found, score, mean, n = closeness(text, model)
+    return n > 0 and score >= posterior and mean >= least.get(found, -np.inf) - STRAY / n**0.5
+
+
+def in_languages(docs: DataFrame, model: LanguageModel, least: dict[str, float], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text ``belongs``."""
+    small_batches(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model, least))
+
+    @F.pandas_udf("boolean")
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series([belongs(t, *shared.value) for t in texts], dtype=bool)
+
+    return unpacked(packed(docs, ok=apply(docs[text].cast("string"))).where("ok").select("row"), docs.columns)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,30 @@ def test_clean_documents_stay(spark, folder, docs):
     assert kept.count() >= 0.99 * good.count()
 
 
+def letters(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+
+
+STRANGE = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 50,
+    *(letters(n, n) for n in (8, 60, 3000)),
+]
+
+
+def test_languages_never_learned_and_gibberish_go(spark, folder, docs):
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    good = docs.join(labels, "doc_id").select(docs.columns)
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(STRANGE)], "doc_id long, text string, lang string")
+    frame = settle(good.unionByName(planted, allowMissingColumns=True))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, frame, folder).collect()}
+    assert not [i for i in kept if i < 0]
+    assert len(kept) >= 0.99 * good.count()
+
+
 def test_registered():
     names = contract.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
