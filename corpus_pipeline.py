@@ -22,6 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, those whose language stays below one half, and those
     less likely, by n-gram, than documents of their language are (other languages, gibberish).
+
+    Where no document to learn from has a language, all with a letter stay.
     """
     known = language.trained_on(docs)
     model = language.learn(known)

@@ -165,8 +165,10 @@ def belongs(text: str | None, model: LanguageModel, least: dict[str, float], pos
     """Whether a text has a letter and is in a learned language, as far as its length can tell.
 
     Its mean log-probability may be below the language's floor by ``STRAY`` / sqrt(n-grams), so
-    texts of a few letters pass.
+    texts of a few letters pass. With an empty model every text with a letter belongs.
     """
+    if not model.languages:
+        return has_letter(text)
     found, score, mean, n = closeness(text, model)
     return n > 0 and score >= posterior and mean >= least.get(found, -np.inf) - STRAY / n**0.5
 

@@ -62,6 +62,12 @@ def test_languages_never_learned_and_gibberish_go(spark, folder, docs):
     assert len(kept) >= 0.99 * good.count()
 
 
+def test_documents_stay_where_no_language_is_known(spark, folder, edges):
+    frame = settle(edges.withColumn("lang", F.lit(None).cast("string")))
+    kept = corpus_pipeline.language_id(spark, frame, folder).collect()
+    assert len(kept) == sum(any(map(str.isalpha, r.text or "")) for r in edges.collect()) == 10
+
+
 def test_registered():
     names = contract.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
