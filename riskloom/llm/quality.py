@@ -7,7 +7,7 @@ host. A host's posterior mean is shrunk toward the table's, a path's toward its
 is set by the moments of the level itself: where sites differ no more than chance, they say
 nothing. The log odds of document and path are added, less the table's, which both contain.
 
-The model is fitted on at most ``fit_rows`` labelled rows (those whose key hashes lowest); all
+The model is fitted on at most ``fit_rows`` labelled keys (those that hash lowest), one row each; all
 sums cover all documents. Sites are aggregated on the map side before they shuffle and written
 once; Spark broadcasts that table only if its files are small, and otherwise joins by key.
 """
@@ -70,10 +70,12 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> QualityModel:
     """Newton's method with a ridge of 1 on standardised measures of at most ``fit_rows`` rows.
 
-    Labels other than 0 and 1 are left out. Without any labelled row the model says 1/2.
+    Labels other than 0 and 1 are left out. A label (key and value) counts once however often it
+    or its document is repeated; of documents of one key the smallest measures are taken. Without
+    any labelled row the model says 1/2.
     """
     small_batches(docs)
-    known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).where("y IN (0, 1)")
+    known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).where("y IN (0, 1)").distinct()
     wanted = known.orderBy(F.xxhash64("k"), "k", "y").limit(fit_rows)
     rows = docs.select(docs[key].alias("k"), text_or_empty(docs).alias("t")).join(F.broadcast(wanted), "k")
 
@@ -81,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
         for batch in batches:
             yield pd.DataFrame({"k": batch["k"].astype(str), "y": batch["y"], "x": [measures(t) for t in batch["t"]]})
 
-    found = rows.mapInPandas(measured, "k string, y int, x array<double>").toPandas().sort_values(["k", "y"])
+    each = rows.mapInPandas(measured, "k string, y int, x array<double>").groupBy("k", "y").agg(F.min("x").alias("x"))
+    found = each.toPandas().sort_values(["k", "y"])
     width = len(measures("")) + 1
     if found.empty:
         return QualityModel(np.zeros(width - 1), np.ones(width - 1), np.zeros(width))

@@ -263,6 +263,21 @@ def test_quality(spark, folder, docs, edges, clashing, nothing):
     assert all(abs(r.document_prob - 0.5) < 1e-9 for r in quality.classify(edges, blank).collect())
 
 
+def test_a_repeated_label_is_fitted_on_once(spark, docs, folder):
+    """A key that holds many rows weighs as much as any other, in documents and in labels."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality IN (0, 1)").orderBy("doc_id").limit(40)
+    own = docs.select("doc_id", "text").join(labels, "doc_id")
+    (one,) = own.limit(1).collect()
+    crowd = spark.range(500).selectExpr(f"{one.doc_id}L AS doc_id").crossJoin(docs.where(docs.doc_id == one.doc_id).select("text"))
+    wanted = quality.fit(docs, labels)
+    again = labels.where(labels.doc_id == one.doc_id).crossJoin(spark.range(500)).drop("id")
+    for found in (
+        quality.fit(docs.select("doc_id", "text").unionByName(crowd), labels, fit_rows=40),
+        quality.fit(docs, labels.unionByName(again), fit_rows=40),
+    ):
+        assert np.allclose(found.mean, wanted.mean) and np.allclose(found.weights, wanted.weights)
+
+
 def test_sites_pull_scores_toward_their_own_evidence(spark):
     """Sparse sites stay near the table's mean, large ones near their own."""
     rows = [("bad", "x", 0.1)] * 400 + [("good", "x", 0.9)] * 400 + [("new", "x", 0.1)] + [("good", "poor", 0.2)] * 100
