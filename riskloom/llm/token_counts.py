@@ -97,10 +97,10 @@ def token_counts(
     while longest:
         done, again = _rounds(open_rows, path, chunk, overlap)
         parts.append(done)
-        if overlap >= longest or again.isEmpty():
+        if again.isEmpty():
             break
         overlap, open_rows = overlap * 8, again
-        chunk = chunk if overlap < longest else longest
+        chunk = chunk if overlap < longest else max(chunk, longest)
     result = small
     if parts:
         counts = parts[0]

@@ -146,3 +146,10 @@ def test_places_are_uniform():
         cut = np.cumsum(matrix[0]) - matrix[0]
         hits[np.arange(6), (cut[None, :] <= number[:, None]).sum(axis=1) - 1] += 1
     assert (abs(hits - 400 / 3) < 5 * (400 * 2 / 9) ** 0.5).all()
+
+
+def test_no_row_is_lost_where_the_overlap_is_longer_than_every_text(spark):
+    frame = spark.createDataFrame([(1, "abcdefgh" * 500), (2, "one two " * 400), (3, "short")], "doc_id long, text string")
+    wanted = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame).collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame, chunk=1000, overlap=5000).collect()}
+    assert len(got) == 3 and got == wanted
