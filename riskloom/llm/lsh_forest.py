@@ -1,10 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word n-grams: a MinHash LSH forest, then verification.
+"""Near-duplicates by Jaccard similarity of word n-grams: banded MinHash LSH, then verification.
 
 Documents with the same set of n-grams are one class; everything below works on classes, so exact
-copies cost one row each. Every class has ``trees`` signatures of ``deepest`` minima. A tree is
-the sorted list of its signatures, as a trie whose paths are prefixes; classes that share a
-prefix are candidates. The prefix is shortened from ``deepest`` until a pair at the threshold
-shares one in some tree with a probability of at least ``recall``; then all trees are cut there.
+copies cost one row each. This is not an LSH forest: no sorted trees or tries are built and no
+prefix is shortened by what the data match. One depth is computed once, by formula: the longest of
+at most ``deepest`` with which a pair at the threshold shares the prefix of some of ``trees`` bands
+with a probability of at least ``recall``. Every class has one hash of ``depth`` minima for each
+band; classes that share one are candidates, by an equi-join.
 
 Candidates of a prefix that few classes share become pairs. Where more than ``CROWD`` classes
 share one, no pairs are made: those classes are joined into candidate components, each
@@ -88,7 +89,7 @@ def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(hashes: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The prefix of each tree, as one 64-bit hash of its ``depth`` minima."""
+    """The prefix of each tree (a band), as one 64-bit hash of its ``depth`` minima."""
     flips, factors = _functions(trees * depth)
     low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     minima = np.full(trees * depth, 2**32 - 1, dtype=np.uint32)
