@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, interpolation, language, lsh_forest, packing, piece_lattice, quality, sharding, token_counts, weighted_sampling
+from riskloom.llm import bloom_dedup, interpolation, language, lsh_forest, merkle, packing, piece_lattice, quality, sharding, token_counts, weighted_sampling
 from riskloom.llm.frames import remainder
 
 
@@ -64,6 +64,14 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    tampered = F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(2)) == 0
+    altered = F.when(tampered, F.regexp_replace(docs["text"], "\n", "")).otherwise(docs["text"])
+    built = merkle.manifest(docs, altered)
+    return built.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -75,6 +83,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_interpolation": op9_interpolation,
     "op10_language": op10_language,
+    "op11_manifest": op11_manifest,
 }
 
 ORACLES = {
