@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, interpolation, language, lsh_forest, merkle, packing, piece_lattice, quality, sharding, token_counts, weighted_sampling
+from riskloom.llm import bloom_dedup, fim_frames, interpolation, language, lsh_forest, merkle, packing, piece_lattice, quality, sharding, token_counts, weighted_sampling
 from riskloom.llm.frames import remainder
 
 
@@ -72,6 +72,11 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return built.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = fim_frames.fim_documents(documents(spark, folder))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_interpolation": op9_interpolation,
     "op10_language": op10_language,
     "op11_manifest": op11_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -96,5 +102,41 @@ SELECT doc_id,
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS sha
       FROM documents)
 WINDOW same AS (PARTITION BY sha)
+""",
+    "op13_fill_in_middle": """
+WITH base AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx
+    FROM documents),
+counted AS (
+    SELECT *, CAST(length(t) - length(replace(t, chr(10), '')) + CASE WHEN t <> '' AND NOT ends_with(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n
+    FROM base),
+hashed AS (
+    SELECT *,
+           CAST(('0x' || substr(hx, 1, 8)) AS UBIGINT) % (n + 1) AS c1,
+           CAST(('0x' || substr(hx, 9, 8)) AS UBIGINT) % (n + 1) AS c2,
+           CAST(('0x' || substr(hx, 17, 8)) AS UBIGINT) % 100 AS h3,
+           CAST(('0x' || substr(hx, 25, 8)) AS UBIGINT) % 100 AS h4
+    FROM counted),
+formed AS (
+    SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 100 THEN 'plain'
+                WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+           string_split(t, chr(10)) AS parts
+    FROM hashed),
+cut AS (
+    SELECT *,
+           CAST(coalesce(list_sum(list_transform(list_slice(parts, 1, a), lambda x: length(x) + 1)), 0)
+             - CASE WHEN a = n AND n > 0 AND NOT ends_with(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS x,
+           CAST(coalesce(list_sum(list_transform(list_slice(parts, 1, b), lambda x: length(x) + 1)), 0)
+             - CASE WHEN b = n AND n > 0 AND NOT ends_with(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS y
+    FROM formed)
+SELECT doc_id, n, form,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(x AS BIGINT) END AS prefix_chars,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(y - x AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || substr(t, 1, x) || '<S>' || substr(t, y + 1) || '<M>' || substr(t, x + 1, y - x)
+                        ELSE '<S>' || substr(t, y + 1) || '<P>' || substr(t, 1, x) || '<M>' || substr(t, x + 1, y - x) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
 """,
 }
