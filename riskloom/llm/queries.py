@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bloom_dedup, fim_frames, interpolation, language, lsh_forest, merkle, packing, piece_lattice, quality, sharding, token_counts, weighted_sampling
+from riskloom.llm import bloom_dedup, fim_frames, interpolation, language, lsh_forest, merkle, packing, piece_lattice, quality, sharding, token_counts, toxicity, weighted_sampling
 from riskloom.llm.frames import remainder
 
 
@@ -72,6 +72,17 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return built.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels, remainder(labels["doc_id"], 3) != 1)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "n_sentences", "worst_start", "worst_end", "worst_score",
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     done = fim_frames.fim_documents(documents(spark, folder))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
@@ -89,6 +100,7 @@ QUERIES = {
     "op9_interpolation": op9_interpolation,
     "op10_language": op10_language,
     "op11_manifest": op11_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
