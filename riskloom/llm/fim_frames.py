@@ -13,8 +13,9 @@ to find the markers and then seeks the parts in the text's order to rebuild and
 A task holds one document's compressed frames and one frame of text.
 
 Lines are the matches of ``[^\\n]*\\n|[^\\n]+``; a null text is stored as the empty text, one
-empty frame, with no lines. Rows are keyed by their place in the input, so repeated rows are
-documents each. Other columns are carried, not read; an empty table gives no frames.
+empty frame, with no lines. Each row is a document of its own, so repeated rows are
+documents each. Other columns are carried, not read; an empty table gives no frames. A document's
+frames are one row (arrays), so the transform needs no shuffle and no group.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskloom.llm.frames import located, place, small_batches, text_or_empty
+from riskloom.llm.frames import small_batches, text_or_empty
 
 FRAME_CHARS = 1 << 16
 LEVEL = 3
@@ -55,23 +56,21 @@ def cut_frames(text: str, size: int = FRAME_CHARS) -> Iterator[tuple[int, int, i
 
 
 def store(docs: DataFrame, text: Column, carry: list[Column], size: int = FRAME_CHARS) -> DataFrame:
-    """One row per frame: the ``carry`` columns (repeated), ``frame`` and the FRAME_SCHEMA."""
+    """One row per document: the ``carry`` columns and its frames as arrays of FRAME_SCHEMA's fields."""
     small_batches(docs)
     kept = docs.select(*carry, text.alias("_text"))
     names = [c for c in kept.columns if c != "_text"]
-    schema = StructType(kept.drop("_text").schema.fields + StructType.fromDDL(f"frame int, {FRAME_SCHEMA}").fields)
+    fields = [f.split(" ") for f in FRAME_SCHEMA.split(", ")]
+    arrays = ", ".join(f"{name} array<{kind}>" for name, kind in fields)
+    schema = StructType(kept.drop("_text").schema.fields + StructType.fromDDL(arrays).fields)
 
     def frames(batches):
         for batch in batches:
-            out = {name: [] for name in (*names, "frame", "first_char", "chars", "first_line", "lines", "opens", "blob")}
-            for row in batch.itertuples(index=False):
-                for i, cut in enumerate(cut_frames(row[-1] or "", size)):
-                    for name, value in zip(names, row[:-1]):
-                        out[name].append(value)
-                    out["frame"].append(i)
-                    for name, value in zip(("first_char", "chars", "first_line", "lines", "opens", "blob"), cut):
-                        out[name].append(value)
-            yield pd.DataFrame(out)
+            cut = [list(zip(*cut_frames(t or "", size))) for t in batch["_text"]]
+            out = batch[names].copy()
+            for i, (name, _) in enumerate(fields):
+                out[name] = [list(c[i]) for c in cut]
+            yield out
 
     return kept.mapInPandas(frames, schema)
 
@@ -209,32 +208,35 @@ def transform(frames: Frames, a: int, b: int, form: str, size: int = FRAME_CHARS
     return x, y - x, cut, done
 
 
-def fill_in_middle(stored: DataFrame, key: list[str], carry: list[str], keep_output: bool = False, size: int = FRAME_CHARS) -> DataFrame:
-    """Per document of ``stored`` (frames with ``key``, ``a``, ``b``, ``form`` and ``carry``): the
-    carried columns and RESULTS; with ``keep_output`` also ``output`` (binary frames) and ``output_chars``.
+def fill_in_middle(stored: DataFrame, carry: list[str], keep_output: bool = False, size: int = FRAME_CHARS) -> DataFrame:
+    """Per document of ``stored`` (frames with ``a``, ``b``, ``form`` and ``carry``): the carried
+    columns and RESULTS; with ``keep_output`` also ``output`` (binary frames) and ``output_chars``.
+    Row by row: no document's frames meet another's.
     """
-    kept = list(dict.fromkeys([*key, *carry]))
+    kept = list(dict.fromkeys(carry))
     extra = ", output array<binary>, output_chars array<long>" if keep_output else ""
     results = "prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string, n_frames long, cut_frames long, output_frames long"
     schema = StructType(stored.select(*kept).schema.fields + StructType.fromDDL(results + extra).fields)
+    names = [n for n, _ in (f.split(" ") for f in FRAME_SCHEMA.split(", "))]
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame")
-        frames = Frames(group["first_char"], group["chars"], group["first_line"], group["lines"], group["opens"], group["blob"])
-        head = group.iloc[0]
-        a, b, form = int(head["a"]), int(head["b"]), str(head["form"])
-        prefix, middle, cut, output = transform(frames, a, b, form, size)
-        row = {name: [head[name]] for name in kept}
-        row |= {
-            "prefix_chars": [prefix], "middle_chars": [middle], "output_sha256": [output.digest],
-            "restored_sha256": [restore(output, form)], "n_frames": [len(group)], "cut_frames": [cut],
-            "output_frames": [len(output.blobs)],
-        }
-        if keep_output:
-            row |= {"output": [list(output.blobs)], "output_chars": [[int(c) for c in output.chars]]}
-        return pd.DataFrame(row)
-
-    return stored.groupBy(*key).applyInPandas(each, schema)
+    def each(batches):
+        for batch in batches:
+            out = {k: [] for k in ("prefix_chars", "middle_chars", "output_sha256", "restored_sha256", "n_frames", "cut_frames", "output_frames", "output", "output_chars")}
+            for row in batch[[*names, "a", "b", "form"]].itertuples(index=False):
+                frames = Frames(*row[: len(names)])
+                a, b, form = int(row[-3]), int(row[-2]), str(row[-1])
+                prefix, middle, cut, output = transform(frames, a, b, form, size)
+                for k, v in (("prefix_chars", prefix), ("middle_chars", middle), ("output_sha256", output.digest), ("restored_sha256", restore(output, form)),
+                             ("n_frames", len(frames.blobs)), ("cut_frames", cut), ("output_frames", len(output.blobs)),
+                             ("output", list(output.blobs)), ("output_chars", [int(c) for c in output.chars])):
+                    out[k].append(v)
+            done = batch[kept].copy()
+            for k, v in out.items():
+                if keep_output or k not in ("output", "output_chars"):
+                    done[k] = pd.Series(v, index=batch.index, dtype=object if k in ("prefix_chars", "middle_chars", "output", "output_chars") else None)
+            yield done
+
+    return stored.mapInPandas(each, schema)
 
 
 def hashed_cuts(key: Column, n: Column, text: Column) -> dict[str, Column]:
@@ -255,12 +257,10 @@ def line_count(text: Column) -> Column:
 
 def fim_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_output: bool = False, size: int = FRAME_CHARS) -> DataFrame:
     """Every row of ``docs``: ``key``, n, form and RESULTS (see module docstring for nulls and repeats)."""
-    docs = located(docs)
     body = text_or_empty(docs, text)
     n = line_count(body)
     cuts = hashed_cuts(docs[key], n, body)
-    row = place(docs)
-    carry = [row["file"].alias("_file"), row["row"].alias("_row"), docs[key].alias("_key"), n.alias("n"), *[c.alias(k) for k, c in cuts.items()]]
+    carry = [docs[key].alias("_key"), n.alias("n"), *[c.alias(k) for k, c in cuts.items()]]
     stored = store(docs, body, carry, size)
-    done = fill_in_middle(stored, ["_file", "_row"], ["_key", "n", "form", "a", "b"], keep_output, size)
-    return done.withColumnRenamed("_key", key).drop("_file", "_row", "a", "b")
+    done = fill_in_middle(stored, ["_key", "n", "form"], keep_output, size)
+    return done.withColumnRenamed("_key", key)
