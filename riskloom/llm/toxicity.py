@@ -81,11 +81,26 @@ def features(sentence: str) -> np.ndarray:
 
 
 def bag(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Spans, concatenated buckets, and each sentence's end in them."""
-    spans = sentences(text)
-    parts = [features(text[a:b]) for a, b in spans]
-    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-    return spans, (np.concatenate(parts) if parts else np.zeros(0, np.int64)), ends
+    """Spans, concatenated buckets (each sentence's distinct ones, as ``features`` gives them), and
+    each sentence's end in them; numpy runs once per document, not per sentence."""
+    spans, words, owner = [], [], []
+    for i, m in enumerate(SENTENCE.finditer(text)):
+        spans.append(m.span())
+        found = WORD.findall(m.group().lower())
+        words.extend(found)
+        owner.extend([i] * len(found))
+    if not words:
+        return spans, np.zeros(0, np.int64), np.zeros(len(spans), np.int64)
+    known = [_word(w) for w in words]
+    owner = np.asarray(owner, np.int64)
+    hashes = np.fromiter((k[0] for k in known), np.uint64, len(known))
+    sizes = np.fromiter((len(k[1]) for k in known), np.int64, len(known))
+    same = owner[:-1] == owner[1:]
+    pairs = (((hashes[:-1] * _PAIR) ^ (hashes[1:] + _PAIR)) >> np.uint64(13) & _MASK).astype(np.int64)[same]
+    keys = np.concatenate([np.repeat(owner, sizes), owner[:-1][same]]) << 18 | np.concatenate([*(k[1] for k in known), pairs])
+    keys = np.unique(keys)
+    ends = np.cumsum(np.bincount(keys >> 18, minlength=len(spans)))
+    return spans, keys & (BUCKETS - 1), ends
 
 
 @dataclass(frozen=True)
