@@ -107,6 +107,13 @@ def _(spark, d):
     return found.withColumn("distance", round_even(F.col("distance"), 6))
 
 
+@query("minority_knn_lsh")
+def _(spark, d):
+    """The same neighbours by projection buckets: approximate, distances exact (recall tested against the tree)."""
+    found = nearest_neighbours(_minority(spark, d).filter("isFraud = 1").select("id", "v"), fixed.NEIGHBOURS, method="lsh")
+    return found.withColumn("distance", round_even(F.col("distance"), 6))
+
+
 _HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
