@@ -63,3 +63,24 @@ def test_edges_clashes_and_no_labels(spark, edges, clashing, nothing):
     assert scored.count() == clashing.count() and set(clashing.columns) <= set(scored.columns)
     assert toxicity.score(nothing, model).count() == 0
     assert toxicity.fit(nothing, labels, F.lit(True)).bias == -30.0
+
+
+def test_held_out_scores_rank_label_1_above_label_0(spark):
+    """Toxic words in one sentence of documents of any length, beside chance words that occur once."""
+    rng = np.random.default_rng(5)
+    common = ["".join(rng.choice(list("aeiourstln"), 4)) for _ in range(60)]
+    rows = []
+    for i in range(600):
+        words = [str(w) for w in rng.choice(common, rng.integers(40, 400))] + ["".join(rng.choice(list("bcdfghkmp"), 9)) for _ in range(20)]
+        rng.shuffle(words)
+        if i % 8 == 0:
+            words[len(words) // 2] = ["moron", "worthless", "scum"][i % 3]
+        lines = [" ".join(words[j:j + 10]) for j in range(0, len(words), 10)]
+        rows.append((i, ". ".join(lines) + ".", int(i % 8 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 16 < 8)
+    held = [(r.score, rows[r.doc_id][2]) for r in toxicity.score(docs, model).collect() if r.doc_id % 16 >= 8]
+    toxic, clean = np.array([s for s, y in held if y]), np.array([s for s, y in held if not y])
+    assert len(toxic) and len(clean)
+    assert (toxic[:, None] > clean[None, :]).mean() > 0.95
