@@ -14,6 +14,7 @@ from riskloom.operators.join import price_calls
 from riskloom.operators.routing import injection_error, route, ungrounded_error
 from riskloom.operators.safety import scan_attribution_values, scan_fields
 from riskloom.operators.scoring import score
+from riskloom.session import settle
 
 _RECORD = schemas.EXPLANATION.fieldNames()
 _SCORES = [
@@ -94,7 +95,13 @@ def calls_of_run(
     with no tokens; an explanation call that failed otherwise leaves no record.
     """
     explained = _screened_and_explained(transactions, detections, responses, audience)
-    reached = explained.filter(F.col("sanitize_error").isNull() & F.col("detection").isNotNull())
+    # Both kinds of calls start from these rows: screened, joined and explained once.
+    reached = settle(
+        explained.filter(F.col("sanitize_error").isNull() & F.col("detection").isNotNull()).select(
+            "transaction_id", "called", "explain_error", "detection.fraud_probability", "explanation.explanation_generated",
+            "explanation.uncertainty_flag", "explanation.target_audience",
+        )
+    )
     none = F.lit(None)
     ended = F.col("called") == "timeout"
     asked = responses.select("transaction_id", "model", "input_tokens", "output_tokens", "duration_seconds")
@@ -103,12 +110,12 @@ def calls_of_run(
         F.when(ended, 0).otherwise(F.col("input_tokens")).cast("long").alias("input_tokens"),
         F.when(ended, 0).otherwise(F.col("output_tokens")).cast("long").alias("output_tokens"),
         F.col("duration_seconds").cast("double").alias("duration_seconds"),
-        F.col("detection.fraud_probability").alias("confidence"), none.cast("boolean").alias("passed"),
+        F.col("fraud_probability").alias("confidence"), none.cast("boolean").alias("passed"),
     )
     failed = F.col("message").isNotNull()
     scored = (
-        reached.filter(F.col("explain_error").isNull() & F.col("explanation.explanation_generated"))
-        .select("transaction_id", "explanation.uncertainty_flag", "explanation.target_audience")
+        reached.filter(F.col("explain_error").isNull() & F.col("explanation_generated"))
+        .select("transaction_id", "uncertainty_flag", "target_audience")
         .join(judged, "transaction_id").transform(score)
     )
     second = scored.select(

@@ -49,3 +49,16 @@ def test_columns_and_filters_reach_the_scan(spark, tmp_path):
     call_records(calls).write.parquet(str(tmp_path / "r"))
     text = plan(cost_by_phase(in_phase(spark.read.parquet(str(tmp_path / "r")), "p")))
     assert "EqualTo(phase,p)" in text and "ReadSchema: struct<phase:string,cost_usd:double>" in text
+
+
+def test_calls_of_run_explain_once(spark, folder, monkeypatch):
+    """Explanations are worked out in one pass, not once per kind of call."""
+    from riskloom.plans import run_pipeline as R
+    from riskloom.registry import all_queries
+    from riskloom.session import settle
+
+    kept = []
+    monkeypatch.setattr(R, "settle", lambda df: kept.append(df) or settle(df))
+    out = all_queries()["calls_of_run"](spark, folder)
+    assert len(kept) == 1 and "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
