@@ -21,3 +21,11 @@ def all_queries():
 
 def all_oracles():
     return dict(_load()[1])
+
+
+def approximate_queries():
+    """Registered queries without SQL."""
+    _load()
+    from riskloom.registry.core import APPROXIMATE
+
+    return dict(APPROXIMATE)
