@@ -49,9 +49,12 @@ def pipeline_events(
 
 
 def start_events(events: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
-    """Append events to JSON files, each exactly once; ``once`` stops when the input is used up."""
+    """Append events to JSON files, each exactly once; ``once`` stops when the input is used up.
+
+    The files are compressed: the last event repeats the whole record, so plain text takes many
+    times the space of the input."""
     writer = (
         events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
-        .option("ignoreNullFields", "false").outputMode("append")
+        .option("ignoreNullFields", "false").option("compression", "gzip").outputMode("append")
     )
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

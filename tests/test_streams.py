@@ -26,6 +26,18 @@ def test_stage_events_resume_without_repeats(spark, tmp_path):
         ("1", "sanitize"), ("1", "detection"), ("2", "error"), ("3", "sanitize"), ("3", "detection"), ("4", "sanitize"), ("4", "error")]
 
 
+def test_stage_events_take_little_space(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    spark.range(2000).selectExpr("CAST(id AS STRING) AS TransactionID", "'ok' AS DeviceInfo").coalesce(1).write.parquet(source)
+    static = spark.range(2000).selectExpr("CAST(id AS STRING) AS transaction_id", "repeat('many words ', 50) AS detail")
+    stream = spark.readStream.schema("TransactionID string, DeviceInfo string").parquet(source)
+    start_events(detection_events(stream, static), out, checkpoint).awaitTermination()
+    read = spark.read.schema("transaction_id string, seq int, event string, data string").json(out)
+    assert read.groupBy("event").count().orderBy("event").collect() == [("detection", 2000), ("sanitize", 2000)]
+    plain = read.agg(F.sum(F.length("data"))).first()[0]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < plain / 5
+
+
 def test_late_rows_and_batch_equality(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     schema = "timestamp timestamp, agent_name string, input_tokens bigint, output_tokens bigint"
