@@ -26,9 +26,7 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    coded = piece_lattice.encode(documents(spark, folder))
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), piece_lattice.digests(F.col("ids")).alias("d"))
-    return coded.select("doc_id", "n_pieces", "d.ids_crc32", "d.decoded_sha256")
+    return piece_lattice.encode(documents(spark, folder), results=piece_lattice.digest_results(), schema=piece_lattice.DIGESTS)
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:

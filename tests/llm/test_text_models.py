@@ -8,6 +8,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from riskloom.llm import interpolation, language, piece_lattice, quality, weighted_sampling
 from riskloom.llm.queries import QUERIES
@@ -94,6 +95,29 @@ def test_sentencepiece(docs, edges, clashing, nothing):
     assert piece_lattice.encode(nothing).count() == 0
 
 
+def test_only_substrings_that_can_be_a_piece_are_joined(spark):
+    """Beyond two characters those that begin as a piece of their length; every piece is among them."""
+    table = piece_lattice.pieces(piece_lattice.default_path())
+    found = ["▁internationalisation", "▁qzxjkvwq", "\n", "日本語", "▁"]
+    frame = spark.createDataFrame([(u, len(u), s) for u in found for s in range(len(u))], "unit string, n int, s int")
+    got = {(r.unit, r.s, r.e, r.span) for r in frame.transform(lambda x: piece_lattice.spans(x.withColumn("u", x.unit), table)).withColumnRenamed("u", "unit").collect()}
+    beginnings = {(p[:3], len(p)) for p, *_ in table.rows}
+    wanted = {
+        (u, s, e, u[s:e]) for u in found for s in range(len(u)) for e in range(s + 1, len(u) + 1)
+        if ((u[s : s + 3], e - s) in beginnings if e - s > 2 else e - s == 2 or s == 0)
+    }
+    assert got == wanted and {p for p, *_ in table.rows if len(p) > 1 and any(p in u for u in found)} <= {r[3] for r in got}
+
+
+def test_sentencepiece_digests_in_the_tasks(docs, edges):
+    """The columns of ``digests``, from ids that leave no task."""
+    for frame in (docs.limit(50), edges):
+        coded = piece_lattice.encode(frame)
+        wanted = coded.select("doc_id", F.size("ids").cast("long"), piece_lattice.digests(F.col("ids")).alias("d")).select("doc_id", "size(ids)", "d.*")
+        got = piece_lattice.encode(frame, results=piece_lattice.digest_results(), schema=piece_lattice.DIGESTS)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, wanted.collect())))
+
+
 def test_viterbi_fold_of_a_unigram_table(spark):
     score = {"▁": -2.0, "a": -3.0, "b": -3.5, "c": -4.0, "ab": -4.5, "bc": -5.0, "▁a": -4.0, "abc": -9.0, "ca": -6.0, "▁ab": -7.2}
     table = piece_lattice.Pieces([(p, i, s, False) for i, (p, s) in enumerate(score.items())], True, 3, [])
