@@ -62,3 +62,9 @@ def test_calls_of_run_explain_once(spark, folder, monkeypatch):
     out = all_queries()["calls_of_run"](spark, folder)
     assert len(kept) == 1 and "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_result_json_reads_its_text_once(spark, folder):
+    """All fields come from one pass over the text, not from one pass each."""
+    text = contract.queries()["result_json"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_tuple" in text and "get_json_object(to_json" not in text and "get_json_object(result" not in text
