@@ -47,7 +47,7 @@ from riskloom.llm.interpolation import packed, unpacked
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 MASK_PLACES = 62
-BLOCK_BYTES = 2**23
+BLOCK_BYTES = 2**24
 RANGE_BYTES = 2**21
 PIECES_AT_MOST = 2**18
 PREFIX = 3
@@ -225,7 +225,7 @@ def encode(
         return out
 
     def joined(found: list[str]) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(" ".join(found).encode("utf-8", "surrogatepass"))
+        return zstandard.ZstdCompressor(level=6).compress(" ".join(found).encode("utf-8", "surrogatepass"))
 
     def parted(data: bytes) -> list[str]:
         return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass").split(" ")
