@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -46,11 +47,13 @@ from riskloom.llm.interpolation import packed, unpacked
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
+SEGMENT = re.compile(f"{BLANK}({BLANK}*[^{BLANK}]*)")
 MASK_PLACES = 62
 BLOCK_BYTES = 2**24
 RANGE_BYTES = 2**21
 PIECES_AT_MOST = 2**18
 PREFIX = 3
+SLICE = 2**16  # ids that are decoded at once
 
 
 @dataclass(frozen=True)
@@ -107,6 +110,21 @@ def units(text: str) -> list[str]:
     return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
+def segments(text: str) -> list[str]:
+    """The text cut before each run of blanks, without the first blank of the run; as ``units``, a
+    text has one more blank in front. A text with single blanks only is cut at these."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and BLANK not in text:
+        return text.split(" ")
+    return SEGMENT.findall(BLANK + text.replace(" ", BLANK))
+
+
+def units_of(segment: str) -> list[str]:
+    """The units of a segment, one at least; those of a text are those of its segments in order."""
+    return UNIT.findall(BLANK + segment) if "\n" in segment else [BLANK + segment]
+
+
 # An edge of a byte-pair lattice is one number: rank, start, end, id, from the highest bits down, so that
 # numbers sort by rank and place. Single characters merge nothing; the one that names its unit is -1.
 _EDGE = """CASE WHEN e - s = 1 THEN -1L
@@ -214,7 +232,7 @@ def encode(
     def split(frame: pd.DataFrame):
         open_ = zstandard.ZstdDecompressor()
         for z in frame["z"]:
-            yield units(open_.decompress(z).decode("utf-8", "surrogatepass"))
+            yield segments(open_.decompress(z).decode("utf-8", "surrogatepass"))
 
     def by_range(found: Iterable[str]) -> dict[int, list[str]]:
         """Distinct units by range of their hash, sorted: neighbours with much in common, and few new
@@ -234,7 +252,7 @@ def encode(
         seen: set[str] = set()
         for found in split(frame):
             seen.update(found)
-        ranges = by_range(seen)
+        ranges = by_range({unit for segment in seen for unit in units_of(segment)})
         return pd.DataFrame({"range": list(ranges), "block": frame["block"].iloc[0], "units": [joined(u) for u in ranges.values()]})
 
     def distinct(frame: pd.DataFrame) -> pd.DataFrame:
@@ -258,8 +276,14 @@ def encode(
     def fill(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
         got = {r: (s, i) for r, s, i in zip(answers["range"], answers["sizes"], answers["ids"])} if len(answers) else {}
-        number: defaultdict[str, int] = defaultdict(count().__next__)  # a unit gets the next one where it first occurs
-        texts = [np.fromiter(map(number.__getitem__, x), dtype=np.int32, count=len(x)) for x in split(frame)]
+        segment: defaultdict[str, int] = defaultdict(count().__next__)  # a segment gets the next number where it first occurs
+        texts = [np.fromiter(map(segment.__getitem__, x), dtype=np.int32, count=len(x)) for x in split(frame)]
+        number: defaultdict[str, int] = defaultdict(count().__next__)  # and so does a unit
+        parts, sizes_of = array("i"), array("i")  # numbers in arrays: many small lists would cost more
+        for x in segment:
+            found = units_of(x) if "\n" in x else (BLANK + x,)
+            parts.extend(map(number.__getitem__, found))
+            sizes_of.append(len(found))
         numbers, sizes, flat = ([np.empty(0, dtype=np.int32)] for _ in range(3))
         for r, found in by_range(number).items():
             numbers.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
@@ -268,7 +292,11 @@ def encode(
         sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat).astype(np.int32)
         starts, at = np.cumsum(sizes) - sizes, np.empty(len(number), dtype=np.int32)
         at[np.concatenate(numbers)] = np.arange(len(number), dtype=np.int32)
-        return pd.DataFrame({"doc_id": frame["k"], **results(_gathered(flat, starts, sizes, at[x]) for x in texts)})
+        # Segments are gathered once each, texts from these.
+        at = at[np.array(parts, dtype=np.int32)]
+        places = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(sizes_of, dtype=np.int64))]
+        flat, starts, sizes = _gathered(flat, starts, sizes, at), places[:-1], np.diff(places)
+        return pd.DataFrame({"doc_id": frame["k"], **results(_gathered(flat, starts, sizes, x) for x in texts)})
 
     # Partitioned once; what follows by range, the lattice included, finds its rows in place.
     asked = rows.groupBy("block").applyInPandas(ask, "range long, block long, units binary").repartition(1 << bits, "range")
@@ -317,12 +345,14 @@ def decoded(ids: Column, path: str | None = None) -> Column:
 
 
 def _text_of(ids: np.ndarray, path: str) -> str:
-    data = b"".join(map(_bytes_of(path).__getitem__, ids.tolist()))
+    table = _bytes_of(path)
+    data = b"".join(_gathered(*table, ids[i : i + SLICE]).tobytes() for i in range(0, len(ids), SLICE))
     return data.decode("utf-8", "replace").replace(BLANK, " ").removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
-def _bytes_of(path: str) -> list[bytes]:
+def _bytes_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all pieces one after the other, where those of each id start and how many they are."""
     library = _library(path)
     out = []
     for i in range(library.piece_size()):
@@ -331,7 +361,8 @@ def _bytes_of(path: str) -> list[bytes]:
             out.append(bytes([int(piece[3:5], 16)]))
         else:
             out.append(b"" if library.is_control(i) or library.is_unknown(i) else piece.encode())
-    return out
+    sizes = np.array([len(b) for b in out], dtype=np.int64)
+    return np.frombuffer(b"".join(out), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def digests(ids: Column, path: str | None = None) -> Column:

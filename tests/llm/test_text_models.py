@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -310,3 +311,24 @@ def test_sites_pull_scores_toward_their_own_evidence(spark):
     assert abs(sites["bad", "x"].host_posterior - 0.1) < 0.05
     assert abs(sites["new", "x"].host_posterior - base) < abs(sites["bad", "x"].host_posterior - base)
     assert sites["good", "poor"].path_posterior < sites["good", "x"].path_posterior
+
+
+def test_units_by_segment():
+    """Texts are cut at blanks first; their units are the same, also around runs of blanks and line breaks."""
+    rng = random.Random(5)
+    for _ in range(20000):
+        text = "".join(rng.choices(["a", "b", " ", "\n", piece_lattice.BLANK, "é", " x", "  "], k=rng.randint(0, 9)))
+        assert [unit for x in piece_lattice.segments(text) for unit in piece_lattice.units_of(x)] == piece_lattice.units(text), repr(text)
+
+
+def test_decoding_in_slices(monkeypatch):
+    """Ids are decoded slice by slice, and a character's bytes may lie in two slices."""
+    path = piece_lattice.default_path()
+    library = piece_lattice._library(path)
+    text = "one two  three\n 漢字 𠮷 é\u0e01 ▁z"
+    ids = np.array(library.encode(text), dtype=np.int32)
+    whole = library.decode(ids.tolist())
+    for size in (1, 2, 3, 1000):
+        monkeypatch.setattr(piece_lattice, "SLICE", size)
+        assert piece_lattice._text_of(ids, path) == whole == text.replace("▁", " ")
+    assert piece_lattice._text_of(ids[:0], path) == ""
