@@ -151,14 +151,17 @@ def floors(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("found string, mean double")
-    def apply(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([closeness(t, shared.value)[::2][:2] for t in texts], columns=["found", "mean"])
+    # The language is compared in the task: a filter on the result would have every text scored twice,
+    # by two Python workers at a time.
+    @F.pandas_udf("double")
+    def apply(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        scored = ((closeness(t, shared.value), lang) for t, lang in zip(texts, langs))
+        return pd.Series([mean if found == lang else None for (found, _, mean, _), lang in scored], dtype="float64")
 
     rows = docs.select(docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
-    scored = rows.select("lang", apply("t").alias("s")).where("s.found = lang")
-    found = scored.groupBy("lang").agg(F.percentile_approx("s.mean", [0.5, 0.05], 10000).alias("q")).collect() if model.languages else []
-    return {r.lang: r.q[0] - max(MARGIN, 2 * (r.q[0] - r.q[1])) for r in found}
+    scored = rows.select("lang", apply("t", "lang").alias("mean"))
+    found = scored.groupBy("lang").agg(F.percentile_approx("mean", [0.5, 0.05], 10000).alias("q")).collect() if model.languages else []
+    return {r.lang: r.q[0] - max(MARGIN, 2 * (r.q[0] - r.q[1])) for r in found if r.q is not None}
 
 
 def belongs(text: str | None, model: LanguageModel, least: dict[str, float], posterior: float = 0.5) -> bool:

@@ -68,6 +68,32 @@ def test_documents_stay_where_no_language_is_known(spark, folder, edges):
     assert len(kept) == sum(any(map(str.isalpha, r.text or "")) for r in edges.collect()) == 10
 
 
+def test_floors_score_each_text_once(spark, folder, docs, monkeypatch):
+    """A filter on what a Python function gives had Spark run it twice, in two workers at a time."""
+    known = settle(language.trained_on(docs).unionByName(docs.limit(3).withColumn("lang", F.lit("zz"))))
+    model = language.learn(language.trained_on(docs))
+    plans, kind = [], type(docs)
+    collect = kind.collect
+
+    def noted(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return collect(frame)
+
+    monkeypatch.setattr(kind, "collect", noted)
+    found = language.floors(known, model)
+    assert sum(plan.count("ArrowEvalPython") for plan in plans) == 1
+    monkeypatch.undo()
+    means = {}
+    for r in known.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").collect():
+        lang, _, mean, _ = language.closeness(r.text, model)
+        if lang == r.lang:
+            means.setdefault(lang, []).append(mean)
+    assert set(found) == set(means) and "zz" not in found
+    for lang, each in means.items():
+        low, middle = sorted(each)[-(-len(each) * 5 // 100) - 1], sorted(each)[-(-len(each) // 2) - 1]
+        assert found[lang] == pytest.approx(middle - max(language.MARGIN, 2 * (middle - low)), abs=1e-9)
+
+
 def test_registered():
     names = contract.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
