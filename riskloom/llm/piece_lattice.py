@@ -27,16 +27,16 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
-from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,83 +226,43 @@ def encode(
     blocks, bits = size // block_bytes + 1, min(24, (size // RANGE_BYTES).bit_length())
     rows = docs.select(docs[key].alias("k"), F.xxhash64(place(docs)).alias("place"), squeezed(t).alias("z"))
     rows = rows.withColumn("block", F.pmod(F.col("place"), F.lit(blocks)))
-    lengths = {i: len(p) for p, i, _, _ in table.rows}
-    singles = {p: i for p, i, _, _ in table.rows if len(p) == 1}
 
-    def split(frame: pd.DataFrame):
-        open_ = zstandard.ZstdDecompressor()
-        for z in frame["z"]:
-            yield segments(open_.decompress(z).decode("utf-8", "surrogatepass"))
-
-    def by_range(found: Iterable[str]) -> dict[int, list[str]]:
-        """Distinct units by range of their hash, sorted: neighbours with much in common, and few new
-        pieces, are packed into less."""
-        out: dict[int, list[str]] = {}
-        for unit in sorted(found):
-            out.setdefault(zlib.crc32(unit.encode("utf-8", "surrogatepass")) >> (32 - bits), []).append(unit)
-        return out
-
-    def joined(found: list[str]) -> bytes:
-        return zstandard.ZstdCompressor(level=6).compress(" ".join(found).encode("utf-8", "surrogatepass"))
-
-    def parted(data: bytes) -> list[str]:
-        return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass").split(" ")
+    spelling = _spelling(table)
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        for found in split(frame):
-            seen.update(found)
-        ranges = by_range({unit for segment in seen for unit in units_of(segment)})
-        return pd.DataFrame({"range": list(ranges), "block": frame["block"].iloc[0], "units": [joined(u) for u in ranges.values()]})
-
-    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(set().union(*map(parted, frame["units"])))
-        own = int(frame["range"].iloc[0])
-        return pd.DataFrame({"range": own, "g": np.arange(len(found)) + (own << 40), "unit": found})
-
-    def answer(frame: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        asked = [parted(u) for u in frame["units"]]
-        found = sorted(set().union(*asked))
-        paths = dict(zip(codes["g"].to_numpy() & ((1 << 40) - 1), codes["ids"]))
-        ids = [_ids(unit, paths.get(i), table.byte_ids, singles, lengths, path) for i, unit in enumerate(found)]
-        sizes, flat = np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids)
-        starts, index = np.cumsum(sizes) - sizes, {unit: i for i, unit in enumerate(found)}
-        out = []
-        for own in asked:
-            at = np.fromiter(map(index.__getitem__, own), dtype=np.int64, count=len(own))
-            out.append((packed(sizes[at].astype(np.uint32)), packed(_gathered(flat, starts, sizes, at).astype(np.uint32))))
-        return pd.DataFrame({"block": frame["block"], "range": frame["range"], "sizes": [a for a, _ in out], "ids": [b for _, b in out]})
+        own, by_range = _numbered(frame, bits)
+        return pd.DataFrame({"range": own.ranges, "block": frame["block"].iloc[0], "units": [_joined(u) for u in by_range]})
+
+    def distinct(asked: pa.Table) -> pa.Table:
+        found, _ = _asked(asked)
+        own = asked["range"][0].as_py()
+        g = np.arange(len(found)) + (own << 40)
+        return pa.table([np.full(len(found), own), g, found.cast(pa.string())], names=["range", "g", "unit"])
+
+    def answer(asked: pa.Table, codes: pa.Table) -> pa.Table:
+        found, each = _asked(asked)
+        sizes, flat = _ids(found, codes["g"].to_numpy() & ((1 << 40) - 1), codes["ids"].combine_chunks(), spelling, path)
+        starts = np.cumsum(sizes) - sizes
+        out = [(packed(sizes[at].astype(np.uint32)), packed(_gathered(flat, starts, sizes, at).astype(np.uint32))) for _, at in each]
+        columns = [[block for block, _ in each], [asked["range"][0].as_py()] * len(each), [a for a, _ in out], [b for _, b in out]]
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "range", "sizes", "ids"])
 
     def fill(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
+        own = _numbered(frame, bits)[0]
         got = {r: (s, i) for r, s, i in zip(answers["range"], answers["sizes"], answers["ids"])} if len(answers) else {}
-        segment: defaultdict[str, int] = defaultdict(count().__next__)  # a segment gets the next number where it first occurs
-        texts = [np.fromiter(map(segment.__getitem__, x), dtype=np.int32, count=len(x)) for x in split(frame)]
-        number: defaultdict[str, int] = defaultdict(count().__next__)  # and so does a unit
-        parts, sizes_of = array("i"), array("i")  # numbers in arrays: many small lists would cost more
-        for x in segment:
-            found = units_of(x) if "\n" in x else (BLANK + x,)
-            parts.extend(map(number.__getitem__, found))
-            sizes_of.append(len(found))
-        numbers, sizes, flat = ([np.empty(0, dtype=np.int32)] for _ in range(3))
-        for r, found in by_range(number).items():
-            numbers.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
-            sizes.append(unpacked(got[r][0], np.uint32))
-            flat.append(unpacked(got[r][1], np.uint32))
-        sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat).astype(np.int32)
-        starts, at = np.cumsum(sizes) - sizes, np.empty(len(number), dtype=np.int32)
-        at[np.concatenate(numbers)] = np.arange(len(number), dtype=np.int32)
+        sizes = np.concatenate([np.empty(0, dtype=np.uint32), *(unpacked(got[r][0], np.uint32) for r in own.ranges)]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, dtype=np.uint32), *(unpacked(got[r][1], np.uint32) for r in own.ranges)]).astype(np.int32)
         # Segments are gathered once each, texts from these.
-        at = at[np.array(parts, dtype=np.int32)]
-        places = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(sizes_of, dtype=np.int64))]
+        starts, at = np.cumsum(sizes) - sizes, own.units_of_segments
+        places = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(own.sizes_of_segments))]
         flat, starts, sizes = _gathered(flat, starts, sizes, at), places[:-1], np.diff(places)
-        return pd.DataFrame({"doc_id": frame["k"], **results(_gathered(flat, starts, sizes, x) for x in texts)})
+        return pd.DataFrame({"doc_id": frame["k"].iloc[own.rows], **results(_gathered(flat, starts, sizes, x) for x in own.texts)})
 
     # Partitioned once; what follows by range, the lattice included, finds its rows in place.
     asked = rows.groupBy("block").applyInPandas(ask, "range long, block long, units binary").repartition(1 << bits, "range")
-    found = asked.groupBy("range").applyInPandas(distinct, "range long, g long, unit string")
+    found = asked.groupBy("range").applyInArrow(distinct, "range long, g long, unit string")
     codes = lattice(found, table, 1 << bits).select("range", "g", F.transform("path", lambda x: F.coalesce(x.id, F.lit(-1))).alias("ids"))
-    answers = asked.groupBy("range").cogroup(codes.groupBy("range")).applyInPandas(answer, "block long, range long, sizes binary, ids binary")
+    answers = asked.groupBy("range").cogroup(codes.groupBy("range")).applyInArrow(answer, "block long, range long, sizes binary, ids binary")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(fill, f"doc_id {kind}, {schema}")
 
 
@@ -313,23 +273,144 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nd
     return flat[np.repeat(starts[at] - before, own) + np.arange(own.sum())]
 
 
-def _ids(unit: str, ids: np.ndarray | None, byte_ids: list[int], singles: dict[str, int], lengths: dict[int, int], path: str) -> np.ndarray:
-    """Ids of a unit from its path, single characters by their own piece or by bytes; else the library's."""
-    if ids is None:
-        return np.array(_library(path).encode("\n" + unit)[2:], dtype=np.int32)  # blank and line break come first
-    if ids.min() >= 0:
-        return ids
-    out: list[int] = []
-    at = 0
-    for id_ in ids.tolist():
-        if id_ >= 0:
-            out.append(id_)
-            at += lengths[id_]
-        else:
-            c = unit[at]
-            out += [singles[c]] if c in singles else [byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-            at += 1
-    return np.array(out, dtype=np.int32)
+def _segmented(texts: list[bytes]) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """All segments of the texts one after the other, where each text's begin and how many they are.
+
+    Texts with single blanks only are split at once; the others follow one by one, at the end. The list is emptied.
+    """
+    whole = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+    count = len(texts)
+    texts.clear()
+    uneven = pc.or_(pc.starts_with(whole, " "), pc.or_(pc.match_substring(whole, "  "), pc.match_substring(whole, BLANK)))
+    even = pc.and_(pc.invert(uneven), pc.greater(pc.binary_length(whole), 0)).to_numpy(zero_copy_only=False)
+    uneven = uneven.to_numpy(zero_copy_only=False)
+    others = [segments(t) for t in whole.filter(pa.array(uneven)).to_pylist()]
+    cut = pc.split_pattern(whole if even.all() else whole.filter(pa.array(even)), " ")
+    sizes = np.zeros(count, dtype=np.int64)
+    sizes[even] = pc.list_value_length(cut).to_numpy()
+    sizes[uneven] = [len(x) for x in others]
+    order = np.concatenate([np.flatnonzero(even), np.flatnonzero(uneven)])
+    starts = np.zeros(count, dtype=np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    rest = pa.array(chain.from_iterable(others), pa.large_string())
+    return pa.chunked_array([cut.flatten(), rest]), starts, sizes
+
+
+@dataclass
+class _Numbered:
+    """A block's texts as numbers of distinct segments, these as numbers of distinct units (by range, then in order)."""
+
+    rows: np.ndarray  # the order of the rows
+    texts: list[np.ndarray]
+    units_of_segments: np.ndarray
+    sizes_of_segments: np.ndarray
+    ranges: list[int]
+
+
+def _numbered(frame: pd.DataFrame, bits: int) -> tuple[_Numbered, list[list[bytes]]]:
+    """The texts of a block in numbers, and the units of each range.
+
+    The same for the same rows in any order: equal places are told apart by their text.
+    """
+    open_, places, squeezed = zstandard.ZstdDecompressor(), frame["place"].to_numpy(), frame["z"].to_numpy()
+    rows = np.array(sorted(range(len(frame)), key=lambda i: (places[i], squeezed[i])), dtype=np.int64)
+    every, starts, sizes = _segmented([open_.decompress(squeezed[i]) for i in rows])
+    coded = every.dictionary_encode().combine_chunks()
+    del every
+    pa.default_memory_pool().release_unused()  # two workers and more share an executor's memory
+    numbers, known = coded.indices.to_numpy(), coded.dictionary
+    broken = pc.match_substring(known, "\n")
+    plain = known.filter(pc.invert(broken))
+    parts = [units_of(x) for x in known.filter(broken).to_pylist()]
+    found = pa.concat_arrays([
+        pc.binary_join_element_wise(pa.scalar(BLANK, pa.large_string()), plain, pa.scalar("", pa.large_string())),
+        pa.array(chain.from_iterable(parts), pa.large_string()),
+    ]).dictionary_encode()
+    # Segments without a line break come first.
+    broken = broken.to_numpy(zero_copy_only=False)
+    at = np.empty(len(known), dtype=np.int32)
+    at[np.concatenate([np.flatnonzero(~broken), np.flatnonzero(broken)])] = np.arange(len(known), dtype=np.int32)
+    numbers, coded = at[numbers], None
+    units_ = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    range_ = np.fromiter(map(zlib.crc32, units_), dtype=np.int64, count=len(units_)) >> (32 - bits)
+    # By range, then roughly sorted: neighbours with much in common are packed into less.
+    heads = units_.astype("S16").view(">u8").reshape(-1, 2)
+    order = np.lexsort((heads[:, 1], heads[:, 0], range_))
+    turn = np.empty(len(order), dtype=np.int32)
+    turn[order] = np.arange(len(order), dtype=np.int32)
+    ranges, begin = np.unique(range_[order], return_index=True)
+    found, known, plain = found.indices.to_numpy(), None, len(plain)
+    pa.default_memory_pool().release_unused()
+    own = _Numbered(
+        rows, [numbers[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())], turn[found],
+        np.array([1] * plain + [len(x) for x in parts], dtype=np.int64), ranges.tolist(),
+    )
+    return own, [x.tolist() for x in np.split(units_[order], begin[1:])] if len(ranges) else []
+
+
+def _joined(found: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(b" ".join(found))
+
+
+def _asked(asked: pa.Table) -> tuple[pa.Array, list[tuple[int, np.ndarray]]]:
+    """The distinct units that the packets of a range hold, and per block which of them it asks for, in its order."""
+    asked = asked.sort_by("block")
+    open_ = zstandard.ZstdDecompressor()
+    split = pc.split_pattern(pa.array([open_.decompress(x) for x in asked["units"].to_pylist()], pa.large_binary()).cast(pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    ends = np.cumsum(pc.list_value_length(split).to_numpy())
+    return coded.dictionary, list(zip(asked["block"].to_pylist(), np.split(coded.indices.to_numpy(), ends[:-1])))
+
+
+@dataclass(frozen=True)
+class _Spelling:
+    lengths: np.ndarray  # characters of each id
+    singles: np.ndarray  # characters that are pieces, ascending
+    single_ids: np.ndarray
+    byte_ids: np.ndarray
+
+
+def _spelling(table: Pieces) -> _Spelling:
+    lengths = np.ones(max((i for _, i, _, _ in table.rows), default=0) + 1, dtype=np.int64)
+    lengths[[i for _, i, _, _ in table.rows]] = [len(p) for p, *_ in table.rows]
+    singles = sorted((ord(p), i) for p, i, _, _ in table.rows if len(p) == 1)
+    return _Spelling(lengths, *np.array(singles, dtype=np.int32).reshape(-1, 2).T, np.array(table.byte_ids, dtype=np.int32))
+
+
+def _ids(found: pa.Array, known: np.ndarray, paths: pa.Array, spelling: _Spelling, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each unit has, and all of them in order, from the paths of the units numbered ``known``.
+
+    Single characters (-1) get their own piece or bytes; units without a path are encoded by the library.
+    """
+    turn = np.argsort(known)
+    known, sizes = known[turn], pc.list_value_length(paths).to_numpy()[turn].astype(np.int64)
+    starts = paths.offsets.to_numpy()[:-1][turn].astype(np.int64)
+    ids = _gathered(paths.values.to_numpy(), starts, sizes, np.arange(len(known)))
+    # Pieces cover their units, so their lengths give the place of each in the units' characters.
+    width = np.where(ids < 0, 1, spelling.lengths[ids])
+    characters = np.frombuffer("".join(found.take(pa.array(known)).to_pylist()).encode("utf-32-le"), dtype=np.int32)
+    single = np.flatnonzero(ids < 0)
+    codes = characters[(np.cumsum(width) - width)[single]]
+    at = np.searchsorted(spelling.singles, codes)
+    hit = np.append(spelling.singles, -1)[at] == codes
+    ids[single] = np.where(hit, np.append(spelling.single_ids, -1)[at], -1)
+    counts, data = np.ones(len(ids), dtype=np.int64), [chr(c).encode() for c in codes[~hit].tolist()]
+    counts[single[~hit]] = [len(b) for b in data]
+    of_unit = np.add.reduceat(counts, np.cumsum(sizes) - sizes) if len(sizes) else sizes
+    if data:
+        spelled = np.repeat(ids < 0, counts)
+        ids = np.repeat(ids, counts)
+        ids[spelled] = spelling.byte_ids[np.frombuffer(b"".join(data), dtype=np.uint8)]
+    if len(known) == len(found):
+        return of_unit, ids
+    # Blank and line break come first.
+    missing = np.setdiff1d(np.arange(len(found)), known)
+    spelt = [np.array(_library(path).encode("\n" + u)[2:], dtype=np.int32) for u in found.take(pa.array(missing)).to_pylist()]
+    every = np.concatenate([known, missing])
+    own = np.concatenate([of_unit, [len(x) for x in spelt]]).astype(np.int64)
+    ids, place_ = np.concatenate([ids, *spelt]), np.cumsum(own) - own
+    at = np.argsort(every)
+    return own[at], _gathered(ids, place_, own, at)
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:

@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from riskloom.llm import interpolation, language, piece_lattice, quality, weighted_sampling
@@ -119,6 +121,51 @@ def test_sentencepiece_digests_in_the_tasks(docs, edges):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, wanted.collect())))
 
 
+ODD = ["", "a b", " a", "a ", "a  b", "a\nb c\n\nd", "▁a ▁ b", "\n", " ", "   ", "a b a", "internationalisation internationalism", "\x00 \x00", "é 漢字 𠮷"]
+
+
+def test_segments_of_many_texts_at_once():
+    every, starts, sizes = piece_lattice._segmented([t.encode() for t in ODD])
+    flat = every.to_pylist()
+    assert [flat[a : a + n] for a, n in zip(starts, sizes)] == [piece_lattice.segments(t) for t in ODD]
+    assert piece_lattice._segmented([])[0].to_pylist() == []
+
+
+def test_numbers_of_a_block_in_any_order_of_rows():
+    """Rows that arrive in another order give the same packets; they stand for the units of the texts."""
+    z = [zstandard.ZstdCompressor(level=3).compress(t.encode()) for t in ODD]
+    frame = pd.DataFrame({"place": [i // 3 for i in range(len(z))], "z": z})
+    for bits in (0, 3):
+        (own, packets), (again, same) = piece_lattice._numbered(frame, bits), piece_lattice._numbered(frame.iloc[::-1].reset_index(drop=True), bits)
+        assert packets == same and own.ranges == again.ranges and len(packets) == len(own.ranges)
+        units = [u.decode() for packet in packets for u in packet]
+        assert len(set(units)) == len(units)
+        ends = np.cumsum(own.sizes_of_segments)
+        for i, numbers in zip(own.rows, own.texts):
+            parts = [units[u] for x in numbers for u in own.units_of_segments[ends[x] - own.sizes_of_segments[x] : ends[x]]]
+            assert parts == piece_lattice.units(ODD[i])
+
+
+def test_ids_of_a_range_at_once():
+    """Paths, single characters, bytes and units without a path, all units of a range in one go."""
+    path = piece_lattice.default_path()
+    library, table = sentencepiece.SentencePieceProcessor(model_file=path), piece_lattice.pieces(path)
+    number = {p: i for p, i, _, _ in table.rows}
+    units = ["▁the", "\n", "▁a漢\U000e0001é", "▁qzx", "▁" + "ab" * 40, "▁\U000e0001"]
+    paths = [[number["▁the"]], [-1], None, [-1, -1, -1, -1], None, [-1, -1]]
+    known = [i for i, x in enumerate(paths) if x is not None]
+    for turn in (known, known[::-1], []):
+        lists = pa.array([paths[i] for i in turn], pa.list_(pa.int32()))
+        sizes, flat = piece_lattice._ids(pa.array(units, pa.large_string()), np.array(turn, dtype=np.int64), lists, piece_lattice._spelling(table), path)
+        ends = np.cumsum(sizes)
+        got = [flat[e - n : e].tolist() for e, n in zip(ends, sizes)]
+        assert got[2] == library.encode("\n" + units[2])[2:] and got[4] == library.encode("\n" + units[4])[2:]
+        assert got[0] == [number["▁the"]]
+        assert library.decode(got[5]) == "\U000e0001" and library.decode(got[3]) == "qzx"
+        if turn:
+            assert got[3] == [number[c] for c in "▁qzx"] and got[5][1:] == [table.byte_ids[b] for b in "\U000e0001".encode()]
+
+
 def test_viterbi_fold_of_a_unigram_table(spark):
     score = {"▁": -2.0, "a": -3.0, "b": -3.5, "c": -4.0, "ab": -4.5, "bc": -5.0, "▁a": -4.0, "abc": -9.0, "ca": -6.0, "▁ab": -7.2}
     table = piece_lattice.Pieces([(p, i, s, False) for i, (p, s) in enumerate(score.items())], True, 3, [])
