@@ -9,6 +9,7 @@ from riskloom import fixed_values as fixed
 from riskloom.operators.attribution import topk_attributions, with_attributions
 from riskloom.operators.encode import align, score_features
 from riskloom.operators.train import decide, score_batch
+from riskloom.session import spread
 from riskloom.sources.models import StoredModel
 
 
@@ -22,11 +23,11 @@ def detect(
 ) -> DataFrame:
     """One detection record per transaction; without attributions the list is empty.
 
-    Encoding, scoring and decision are JVM expressions; one Arrow stage adds attributions. No
-    step shuffles.
+    Encoding, scoring and decision are JVM expressions; one Arrow stage adds attributions. The
+    rows are dealt out once, before they are encoded.
     """
     row_id = F.col(fixed.ROW_ID).cast("string").alias("transaction_id")
-    prepared = score_features(transactions).withColumn("transaction_id", row_id)
+    prepared = score_features(spread(transactions)).withColumn("transaction_id", row_id)
     matrix = align(prepared, model.features, "transaction_id")
     scored = score_batch(model.pipeline, matrix, model.features)
     if attributions and model.leaves:
